@@ -1,7 +1,8 @@
-"""Make this package importable in Python workers."""
+"""What Python workers and executors share with the driver: the package, and a folder."""
 
 from __future__ import annotations
 
+import tempfile
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -19,3 +20,13 @@ def reachable(spark: SparkSession) -> SparkSession:
     if ROOT not in paths:
         environment["PYTHONPATH"] = ":".join([ROOT, *filter(None, paths)])
     return spark
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or in local mode, where it is unset, a temporary one."""
+    place = spark.conf.get("spark.checkpoint.dir", None)
+    if not place:
+        place = getattr(spark.sparkContext, "_tallyweave_dir", None)
+        if place is None:
+            place = spark.sparkContext._tallyweave_dir = "file://" + tempfile.mkdtemp(prefix="tallyweave-")
+    return place.rstrip("/")
