@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -10,20 +9,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from tallyweave.functions.workers import shared_dir
+
 #: UTF-8 bytes handled at once by the numpy kernels; one longer text is handled alone.
 SLICE_BYTES = 1 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or in local mode, where it is unset, a temporary one."""
-    place = spark.conf.get("spark.checkpoint.dir", None)
-    if not place:
-        place = getattr(spark.sparkContext, "_tallyweave_dir", None)
-        if place is None:
-            place = spark.sparkContext._tallyweave_dir = "file://" + tempfile.mkdtemp(prefix="tallyweave-")
-    return place.rstrip("/")
-
-
 def table_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
