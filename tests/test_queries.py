@@ -1,7 +1,7 @@
 """Every core query against its SQL in DuckDB, and the plans' shape."""
 
 import pytest
-from conftest import same_rows
+from support import same_rows
 from tallyweave import queries as core
 
 SQL = core.oracle_sql()
