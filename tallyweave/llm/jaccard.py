@@ -14,8 +14,10 @@ from .components import connected_components
 from .runtime import discard, fine, materialize, text_slices
 from .words import mix, shingle_sets
 
-#: Groups that shingles are hashed to: the dimensions of a count vector.
-GROUPS = 128
+#: Groups that shingles are hashed to: the dimensions of the points in an R-tree. A larger set is
+#: also counted in more groups (4 times as many for 4 times its size, from WIDE on), since the noise of a count falls below the
+#: allowed difference when a group holds many shingles.
+GROUPS, WIDE = 128, 1024
 #: Points in a leaf of the R-tree.
 LEAF = 32
 #: Members that one list or component has in a task; larger ones are split into pairs of chunks.
@@ -23,11 +25,22 @@ CHUNK = 4096
 #: Counters of the frequency sketch, and the least count of a counter in a task that makes it frequent.
 SKETCH, FREQUENT = 1 << 20, 8
 
-_GROUP_SHIFT = np.uint64(64 - 7)
 
+def groups_of(size: int) -> int:
+    """Groups of the fine count vector of a set of this size: GROUPS times a power of 4."""
+    groups = GROUPS
+    while size > WIDE * (groups // GROUPS):
+        groups *= 4
+    return groups
 
-def count_vector(shingles: np.ndarray) -> np.ndarray:
-    return np.bincount((shingles >> _GROUP_SHIFT).astype(np.int64), minlength=GROUPS)
+
+def count_vector(shingles: np.ndarray, groups: int = GROUPS) -> np.ndarray:
+    return np.bincount((shingles >> np.uint64(65 - groups.bit_length())).astype(np.int64), minlength=groups)
+
+
+def fold(vector: np.ndarray, groups: int) -> np.ndarray:
+    """The count vector with fewer groups: neighbours are added up, since groups are leading bits."""
+    return vector if len(vector) == groups else vector.reshape(groups, -1).sum(axis=1)
 
 
 def may_link(overlap: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -116,6 +129,20 @@ def exact_check(sets: list[np.ndarray]) -> Callable[[int, np.ndarray], np.ndarra
     return check
 
 
+def fine_check(fine: list[np.ndarray], sizes: np.ndarray) -> Callable[[int, np.ndarray], np.ndarray]:
+    """Whether the overlap bound in fine groups still allows a link; pairs are compared in the fewer groups of the two."""
+
+    def check(one: int, others: np.ndarray) -> np.ndarray:
+        out = np.ones(len(others), bool)
+        for k, x in enumerate(others.tolist()):
+            groups = min(len(fine[one]), len(fine[x]))
+            if groups > GROUPS:
+                out[k] = may_link(np.minimum(fold(fine[one], groups), fold(fine[x], groups)).sum(), sizes[one] + sizes[x])
+        return out
+
+    return check
+
+
 def _distinct_texts(batches: Iterator[pa.RecordBatch], column: int, key: int | None = None) -> Iterator[tuple[pa.RecordBatch, int, np.ndarray, np.ndarray, np.ndarray]]:
     """Slices of a text column with, for each row, whether it is the first of its text in this task (among rows with a key)."""
     seen: set[int] = set()
@@ -180,8 +207,10 @@ def _vector_bytes(vector: np.ndarray) -> bytes:
     return vector.astype("<u2" if vector.max(initial=0) < 1 << 16 else "<u4").tobytes()
 
 
-def _vectors(column: pa.Array) -> np.ndarray:
-    return np.stack([np.frombuffer(x, "<u2" if len(x) == 2 * GROUPS else "<u4").astype(np.int32) for x in column.to_pylist()]) if len(column) else np.zeros((0, GROUPS), np.int32)
+def _vectors(column: pa.Array, sizes: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Points of GROUPS counts, and the fine vectors."""
+    fine = [np.frombuffer(x, "<u2" if len(x) == 2 * groups_of(n) else "<u4").astype(np.int32) for x, n in zip(column.to_pylist(), sizes.tolist(), strict=True)]
+    return np.stack([fold(x, GROUPS) for x in fine]) if fine else np.zeros((0, GROUPS), np.int32), fine
 
 
 def _profiles(rows: DataFrame, level: np.ndarray) -> DataFrame:
@@ -196,7 +225,7 @@ def _profiles(rows: DataFrame, level: np.ndarray) -> DataFrame:
                 cs.append(_class_of(s) if len(s) else None)
                 use = f and len(s) > 0
                 prefixes.append(_prefix(s, shared.value).tobytes() if use else None)
-                vectors.append(_vector_bytes(count_vector(s)) if use else None)
+                vectors.append(_vector_bytes(count_vector(s, groups_of(len(s)))) if use else None)
             keys = batch.column(0).slice(first, len(ns))
             yield pa.RecordBatch.from_arrays([keys, pa.array(ns, pa.int64()), pa.array(cs, pa.int64()), pa.array(prefixes, pa.binary()), pa.array(vectors, pa.binary())], ["k", "n", "c", "prefix", "vector"])
 
@@ -315,14 +344,16 @@ def _bound_links(lists: DataFrame, vectors: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g, c, n, v in _keyed_runs(batches, 4):
             g, c, n = (x.to_numpy(zero_copy_only=False) for x in (g, c, n))
-            v = _vectors(v)
+            v, fine = _vectors(v, n)
             starts = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
             sizes = np.diff(np.append(starts, len(g)))
             two = starts[sizes == 2]
             two = two[may_link(np.minimum(v[two], v[two + 1]).sum(axis=1), n[two] + n[two + 1])]
+            check = fine_check(fine, n)
+            two = two[[bool(check(at, np.array([at + 1]))[0]) for at in two.tolist()]] if len(two) else two
             a, b = [c[two]], [c[two + 1]]
             for at, size in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
-                links = spanning_links(v[at : at + size], n[at : at + size])
+                links = spanning_links(v[at : at + size], n[at : at + size], fine_check(fine[at : at + size], n[at : at + size]))
                 if links:
                     x, y = np.array(links).T
                     a.append(c[at + x])
