@@ -14,16 +14,20 @@ from .langid import _classes
 from .runtime import text_slices
 from .words import mix
 
-#: Characters in the longest n-gram; from CLASS_ORDER on the counts are of a class, below they are shared.
-ORDER, CLASS_ORDER = 5, 3
+#: Characters in the n-grams of a model, each order backing off to the one before. The long ones tell words whose parts are all common.
+ORDERS = (1, 2, 3, 4, 6, 8, 10)
+#: Weight of the shared counts in a context, as a number of occurrences.
+SHARED = 8.0
 DISCOUNT = 0.75
 #: Slots of a hashed n-gram table of one order.
 SLOTS = 1 << 18
 #: An n-gram needs so many counts to be kept; rarer ones are left to the backoff.
-LEAST_COUNT = 3
+LEAST_COUNT = 1
 #: Most labelled documents used, those with the least hash of their key. Up to this bound all are.
 MOST_LABELS = 200_000
-FEATURES = 5
+FEATURES = 6
+#: A whole word needs so many occurrences in both classes to be compared as such.
+LEAST_WORD = 8
 
 
 def _word_codes(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -50,10 +54,11 @@ def _hash_words(code: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix(total)
 
 
-def _grams(code: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Characters of words with a start and an end mark: for each place the word, and for each order the hash of the n-gram that ends there.
+def _grams(code: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Characters of words with a start and an end mark: for each place the word and the distance from its start, and for each of ORDERS the hashes of the
+    n-gram that ends there and of its context (the n-gram without its last character).
 
-    Row k of the hashes holds order k + 1; an n-gram that would reach over the start is cut at the mark.
+    An n-gram that would reach over the start is cut at the mark.
     """
     size = ends - starts + 2
     first = np.concatenate([[0], np.cumsum(size)])
@@ -62,62 +67,63 @@ def _grams(code: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.n
     chars = np.where(inner < 0, 1, 2).astype(np.uint64)
     body = (inner >= 0) & (inner < (ends - starts)[word])
     chars[body] = code[(starts[word] + inner)[body]]
-    hashes = np.zeros((ORDER, len(chars)), np.uint64)
-    total, factor = np.zeros(len(chars), np.uint64), np.uint64(1)
-    for k in range(ORDER):
-        ok = inner + 1 >= k  # places with k characters before them in the word
-        total = total.copy()
-        total[ok] += (chars[np.flatnonzero(ok) - k] + np.uint64(1)) * factor
-        factor = np.uint64((int(factor) * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF)
-        hashes[k] = mix(total)
-    return word, inner, hashes
+    chars += np.uint64(1)
+    grams, contexts = np.zeros((2, len(ORDERS), len(chars)), np.uint64)
+    total, factor = np.zeros(len(chars), np.uint64), 1
+    for k in range(ORDERS[-1]):
+        ok = np.flatnonzero(inner + 1 >= k)  # places with k characters before them in the word
+        total[ok] += chars[ok - k] * np.uint64(factor)
+        factor = factor * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF
+        if k + 1 in ORDERS:
+            i = ORDERS.index(k + 1)
+            grams[i], contexts[i] = mix(total), mix(total - chars) if k else 0
+    return word, inner, grams, contexts
 
 
 def _slots(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(64 - (SLOTS.bit_length() - 1))).astype(np.int64)
 
 
-def _texts_of(batch: pa.RecordBatch, seen: set[int]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    for first, end, data, at in text_slices(batch.column(0)):
-        raw = data.tobytes()
-        fresh = np.zeros(end - first, bool)
-        for r in range(end - first):
-            if (mark := hash(raw[at[r] : at[r + 1]])) not in seen:
-                seen.add(mark)
-                fresh[r] = True
-        yield first, data, at, fresh
+#: Bits that the words before a word are hashed to.
+CONTEXTS = 64
 
 
 def word_counts(labelled: DataFrame) -> DataFrame:
-    """(w, n0, n1) for (t, y): in how many distinct texts of each class a word occurs. Copies in one task count once."""
+    """(w, n0, n1) for (t, y): after how many different words a word occurs, in each class.
+
+    These are Kneser-Ney continuation counts: copies and near copies of a text add nothing, a word put in at many places adds much. Each word
+    has a bitmap of hashed predecessors for each class, merged by OR; linear counting estimates its size (about 300 at most).
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
         for batch in batches:
             label = batch.column(1).to_numpy(zero_copy_only=False)
-            for first, data, at, fresh in _texts_of(batch, seen):
+            for first, _, data, at in text_slices(batch.column(0)):
                 code, starts, ends, row = _word_codes(data, at)
-                keep = fresh[row]
-                starts, ends, row = starts[keep], ends[keep], row[keep]
                 if not len(starts):
                     continue
                 h = _hash_words(code, starts, ends)
-                _, once = np.unique(mix(h + row.astype(np.uint64)), return_index=True)  # a word counts once in a text
-                h, starts, ends, y = h[once], starts[once], ends[once], label[first + row[once]]
-                _, where, kind = np.unique(h, return_index=True, return_inverse=True)
-                n = [np.bincount(kind, weights=y == c, minlength=len(where)).astype(np.int64) for c in (0, 1)]
-                raw = code.astype("<u4").tobytes()
+                before = np.concatenate([[np.uint64(0)], h[:-1]])
+                before[1:][row[1:] != row[:-1]] = 0
+                bit = np.uint64(1) << (mix(before) >> np.uint64(58))
+                order = np.argsort(h, kind="stable")
+                new = np.flatnonzero(np.concatenate([[True], np.diff(h[order]) != 0]))
+                y = label[first + row[order]]
+                masks = [np.bitwise_or.reduceat(np.where(y == c, bit[order], np.uint64(0)), new).view(np.int64) for c in (0, 1)]
+                raw, where = code.astype("<u4").tobytes(), order[new]
                 words = [raw[4 * a : 4 * b].decode("utf-32-le") for a, b in zip(starts[where].tolist(), ends[where].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(n[0]), pa.array(n[1])], ["w", "n0", "n1"])
+                yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), *map(pa.array, masks)], ["w", "m0", "m1"])
 
-    parts = labelled.mapInArrow(count, "w string, n0 long, n1 long")
-    return parts.groupBy("w").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    parts = labelled.mapInArrow(count, "w string, m0 long, m1 long")
+    merged = parts.groupBy("w").agg(F.bit_or("m0").alias("m0"), F.bit_or("m1").alias("m1"))
+    size = lambda m: F.round(-CONTEXTS * F.log(1 - F.least(F.bit_count(m), F.lit(CONTEXTS - 0.6)) / CONTEXTS)).cast("long")
+    return merged.select("w", size("m0").alias("n0"), size("m1").alias("n1"))
 
 
 def gram_counts(words: DataFrame) -> DataFrame:
-    """(k, slot, before, c0, c1) for words with counts: counts of n-grams of order k + 1, with the slot of their context.
+    """(k, slot, before, c0, c1) for words with counts: counts of n-grams of order ORDERS[k] (of whole words for the last k), with the slot of their context.
 
-    The highest order counts texts; the others, as in Kneser-Ney, count the different words that an n-gram occurs in.
+    The highest order has the words' counts; the others, as in Kneser-Ney, count the different words that an n-gram occurs in.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,54 +132,60 @@ def gram_counts(words: DataFrame) -> DataFrame:
             for first, _, data, at in text_slices(batch.column(0)):
                 codes = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32)
                 edges = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[at]
-                word, inner, hashes = _grams(codes, edges[:-1], edges[1:])
+                whole = _slots(_hash_words(codes, edges[:-1], edges[1:]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(whole), len(ORDERS))), pa.array(whole), pa.array(np.zeros(len(whole), np.int64)), *(pa.array(x[first : first + len(whole)]) for x in n)], ["k", "slot", "before", "c0", "c1"])
+                word, inner, grams, contexts = _grams(codes, edges[:-1], edges[1:])
                 use = np.flatnonzero(inner >= 0)
                 mine = n[:, first + word[use]]
-                for k in range(ORDER):
-                    weight = mine if k == ORDER - 1 else np.minimum(mine, 1)
-                    slot = _slots(hashes[k][use])
-                    before = _slots(hashes[k - 1][use - 1]) if k else np.zeros(len(use), np.int64)
+                for k in range(len(ORDERS)):
+                    weight = mine if k == len(ORDERS) - 1 else np.minimum(mine, 1)
+                    slot, before = _slots(grams[k][use]), _slots(contexts[k][use])
                     both, where, kind = np.unique(slot * SLOTS + before, return_index=True, return_inverse=True)
                     sums = [np.bincount(kind, weights=w, minlength=len(both)).astype(np.int64) for w in weight]
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(both), k)), pa.array(slot[where]), pa.array(before[where]), pa.array(sums[0]), pa.array(sums[1])], ["k", "slot", "before", "c0", "c1"])
 
     parts = words.mapInArrow(count, "k long, slot long, before long, c0 long, c1 long")
-    return parts.groupBy("k", "slot").agg(F.min("before").alias("before"), F.sum("c0").alias("c0"), F.sum("c1").alias("c1")).filter(f"c0 + c1 >= {LEAST_COUNT}")
+    return parts.groupBy("k", "slot").agg(F.min("before").alias("before"), F.sum("c0").alias("c0"), F.sum("c1").alias("c1")).filter(f"c0 + c1 >= CASE WHEN k < {len(ORDERS)} THEN {LEAST_COUNT} ELSE {LEAST_WORD} END")
 
 
 @dataclass
 class Model:
-    """For each order: discounted probabilities of n-grams and backoff weights of contexts, by slot and class; then the logistic weights."""
+    """For each order: discounted probabilities of n-grams and backoff weights of contexts, by slot, for each class and for both; then the logistic weights.
+
+    A class backs off to its shorter n-gram, scaled as the shared model scales it; so what is rare has one probability in both classes.
+    """
 
-    direct: np.ndarray  # ORDER x 2 x SLOTS, float32
-    backoff: np.ndarray  # ORDER x 2 x SLOTS, float32, 1 for an unseen context
+    direct: np.ndarray  # ORDERS x 3 x SLOTS, float32
+    backoff: np.ndarray  # ORDERS x 3 x SLOTS, float32, 1 for an unseen context
+    words: np.ndarray  # SLOTS, float32: log-odds of whole words, 0 for rare ones
     weights: np.ndarray
     centre: np.ndarray
     scale: np.ndarray
 
     def word_odds(self, code: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """log P(word | toxic) - log P(word | ordinary) for each word."""
-        word, inner, hashes = _grams(code, starts, ends)
+        word, inner, grams, contexts = _grams(code, starts, ends)
         use = np.flatnonzero(inner >= 0)
-        logs = []
-        for y in (0, 1):
-            p = np.full(len(use), 1e-4)
-            for k in range(ORDER):
-                gram = _slots(hashes[k][use])
-                before = _slots(hashes[k - 1][use - 1]) if k else np.zeros(len(use), np.int64)
-                p = self.direct[k, y, gram] + self.backoff[k, y, before] * p
-            logs.append(np.log(p))
+        p = np.full((3, len(use)), 1e-4)
+        for k in range(len(ORDERS)):
+            gram, before = _slots(grams[k][use]), _slots(contexts[k][use])
+            shared = self.direct[k, 2, gram] + self.backoff[k, 2, before] * p[2]
+            for y in (0, 1):
+                p[y] = self.direct[k, y, gram] + self.backoff[k, y, before] * p[y] * (shared / p[2])
+            p[2] = shared
+        logs = np.log(p)
         return np.bincount(word[use], weights=logs[1] - logs[0], minlength=len(starts))
 
     def features(self, column: pa.Array) -> np.ndarray:
-        """For each text: mean of the words' log-odds by character, the largest, the mean of the three largest, the share of words over 3, and log size."""
+        """For each text: mean of the words' log-odds by character, the largest, the mean of the three largest, the largest of whole words, the share of words over 3, and log size."""
         out = np.zeros((len(column), FEATURES))
         for first, end, data, at in text_slices(column, 1 << 19):
             code, starts, ends, row = _word_codes(data, at)
             if not len(starts):
                 continue
-            _, where, kind = np.unique(_hash_words(code, starts, ends), return_index=True, return_inverse=True)
+            kinds, where, kind = np.unique(_hash_words(code, starts, ends), return_index=True, return_inverse=True)
             odds = self.word_odds(code, starts[where], ends[where])[kind]
+            whole = self.words[_slots(kinds)][kind].astype(np.float64)
             bounds = np.searchsorted(row, np.arange(end - first + 1))
             full = np.flatnonzero(np.diff(bounds) > 0)
             lo, n = bounds[:-1][full], np.diff(bounds)[full]
@@ -186,7 +198,7 @@ class Model:
                 at_best = np.flatnonzero(left == np.repeat(best, n))
                 _, one = np.unique(row[at_best], return_index=True)
                 left[at_best[one]] = -np.inf
-            out[first + full] = np.stack([add(odds) / add((ends - starts).astype(float)), np.clip(top[:, 0], -5, 12), np.clip(top.mean(axis=1), -5, 12), add((odds > 3).astype(float)) / n, np.log(n)], axis=1)
+            out[first + full] = np.stack([add(odds) / add((ends - starts).astype(float)), np.clip(top[:, 0], -5, 12), np.clip(top.mean(axis=1), -5, 12), np.maximum.reduceat(whole, lo), add((odds > 3).astype(float)) / n, np.log(n)], axis=1)
         return out
 
     def score(self, features: np.ndarray) -> np.ndarray:
@@ -225,19 +237,22 @@ def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str =
     known = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t")).join(F.broadcast(said), "k")  # at most `most` labels
     rows = gram_counts(word_counts(known.filter(fold("k") != calibrate).select("t", "y"))).toArrow()
     k, slot, before, c0, c1 = (rows.column(c).to_numpy() for c in ("k", "slot", "before", "c0", "c1"))
-    direct, backoff = np.zeros((ORDER, 2, SLOTS), np.float32), np.ones((ORDER, 2, SLOTS), np.float32)
-    for order in range(ORDER):
-        mine = k == order
-        for y, c in ((0, c0), (1, c1)):
-            c = (c0 + c1 if order + 1 < CLASS_ORDER else c)[mine].astype(np.float64)
+    direct, backoff = np.zeros((len(ORDERS), 3, SLOTS), np.float32), np.ones((len(ORDERS), 3, SLOTS), np.float32)
+    for i in range(len(ORDERS)):
+        mine = k == i
+        for y, c in enumerate((c0, c1, c0 + c1)):
+            c = c[mine].astype(np.float64)
             use = c > 0
             context, grams, c = before[mine][use], slot[mine][use], c[use]
-            total = np.bincount(context, weights=c, minlength=SLOTS)
+            more = SHARED if y < 2 else 0.0
+            total = np.bincount(context, weights=c, minlength=SLOTS) + more
             kinds = np.bincount(context, minlength=SLOTS)
-            seen = total > 0
-            direct[order, y, grams] = np.maximum(c - DISCOUNT, 0) / total[context]
-            backoff[order, y, seen] = DISCOUNT * kinds[seen] / total[seen]
-    model = Model(direct, backoff, np.zeros(FEATURES + 1), np.zeros(FEATURES), np.ones(FEATURES))
+            seen = kinds > 0
+            direct[i, y, grams] = np.maximum(c - DISCOUNT, 0) / total[context]
+            backoff[i, y, seen] = (DISCOUNT * kinds[seen] + more) / total[seen]
+    words, mine = np.zeros(SLOTS, np.float32), k == len(ORDERS)
+    words[slot[mine]] = np.log((c1[mine] + 1) / (c1[mine].sum() + 1)) - np.log((c0[mine] + 1) / (c0[mine].sum() + 1))
+    model = Model(direct, backoff, words, np.zeros(FEATURES + 1), np.zeros(FEATURES), np.ones(FEATURES))
     shared = spark.sparkContext.broadcast(model)
     got = known.filter(fold("k") == calibrate).select("y", _features(shared)(F.col("t")).alias("x")).toArrow()
     y = got.column("y").to_numpy().astype(np.float64)
