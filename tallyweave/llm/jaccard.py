@@ -22,6 +22,9 @@ GROUPS, WIDE = 128, 1024
 LEAF = 32
 #: Members that one list or component has in a task; larger ones are split into pairs of chunks.
 CHUNK = 4096
+#: Set sizes fall in steps of 5 %; linked sets differ by 25 % at most, so by no more than SIZE_STEPS steps. The step takes the last byte
+#: of a key's hash, so that rows of a key are in order of size and no wider.
+SIZE_STEP, SIZE_STEPS, STEP_BITS = 1.05, 5, 8
 #: Counters of the frequency sketch, and the least count of a counter in a task that makes it frequent.
 SKETCH, FREQUENT = 1 << 20, 8
 
@@ -204,12 +207,14 @@ def _class_of(shingles: np.ndarray) -> int:
 
 
 def _vector_bytes(vector: np.ndarray) -> bytes:
-    return vector.astype("<u2" if vector.max(initial=0) < 1 << 16 else "<u4").tobytes()
+    """Counts in the fewest bytes each that hold them all; the reader knows the number of groups."""
+    most = vector.max(initial=0)
+    return vector.astype("<u1" if most < 1 << 8 else "<u2" if most < 1 << 16 else "<u4").tobytes()
 
 
 def _vectors(column: pa.Array, sizes: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
     """Points of GROUPS counts, and the fine vectors."""
-    fine = [np.frombuffer(x, "<u2" if len(x) == 2 * groups_of(n) else "<u4").astype(np.int32) for x, n in zip(column.to_pylist(), sizes.tolist(), strict=True)]
+    fine = [np.frombuffer(x, f"<u{len(x) // groups_of(n)}").astype(np.int32) for x, n in zip(column.to_pylist(), sizes.tolist(), strict=True)]
     return np.stack([fold(x, GROUPS) for x in fine]) if fine else np.zeros((0, GROUPS), np.int32), fine
 
 
@@ -264,58 +269,67 @@ def _split_long(rows: DataFrame, group: str, *rest: str) -> DataFrame:
     return rows.filter("part < 0").select(group, *rest).union(pairs.select(new.alias(group), *rest))
 
 
+def _size_step(sizes: np.ndarray) -> np.ndarray:
+    return np.minimum((1 << STEP_BITS) - 1, np.log(np.maximum(1, sizes)) / np.log(SIZE_STEP)).astype(np.uint64)
+
+
 def _lists(profiles: DataFrame) -> DataFrame:
-    """(g, c): lists of classes that share a prefix shingle, each list of classes once; lists of over CHUNK split into pairs of chunks."""
+    """(g, c): lists of classes that share a prefix shingle and could link by size.
+
+    Lists with one least class become one list (its pairs include theirs), so the many lists of a family of near copies, one for
+    each shingle of their prefixes, are about one. Lists of over CHUNK are split into pairs of chunks.
+    """
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            c, step = batch.column(0).to_numpy(zero_copy_only=False), _size_step(batch.column(2).to_numpy(zero_copy_only=False))
             raw = batch.column(1).to_pylist()
             for lot in range(0, len(raw), 2000):
                 some = raw[lot : lot + 2000]
                 n = np.array([len(x) // 8 for x in some], np.int64)
-                h = np.frombuffer(b"".join(some), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.repeat(batch.column(0).to_numpy(zero_copy_only=False)[lot : lot + 2000], n))], ["h", "c"])
+                h = np.frombuffer(b"".join(some), np.uint64) >> np.uint64(STEP_BITS) << np.uint64(STEP_BITS)
+                key = h | np.repeat(step[lot : lot + 2000], n)
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(np.repeat(c[lot : lot + 2000], n))], ["h", "c"])
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # Rows come sorted by (h, c). A run that goes on over a cut is held, but for whole chunks of it.
-        seen: set[int] = set()
+        # Rows come sorted by (h, c). A run of one shingle is cut where the size step jumps; the rest of it that
+        # goes on over the end of a batch is held, but for whole chunks of it.
         h, c, part = np.zeros(0, np.int64), np.zeros(0, np.int64), 0
 
         def emit(h: np.ndarray, c: np.ndarray) -> Iterator[pa.RecordBatch]:
             fresh = np.ones(len(h), bool)
             fresh[1:] = (h[1:] != h[:-1]) | (c[1:] != c[:-1])
             h, c = h[fresh], c[fresh]
-            starts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+            starts = np.flatnonzero(np.concatenate([[True], h[1:] - h[:-1] > SIZE_STEPS]))
             sizes = np.diff(np.append(starts, len(h)))
-            marks = mix(np.add.reduceat(mix(c.view(np.uint64)), starts)) if len(h) else np.zeros(0, np.uint64)
-            use = np.zeros(len(starts), bool)
-            for k in np.flatnonzero(sizes > 1).tolist():
-                if (mark := int(marks[k])) not in seen:
-                    seen.add(mark)
-                    use[k] = True
-            rows = np.repeat(use, sizes)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(marks, sizes)[rows].view(np.int64)), pa.array(np.full(int(rows.sum()), -1, np.int32)), pa.array(c[rows])], ["g", "part", "c"])
+            rows = np.repeat(sizes > 1, sizes)
+            g, c = np.repeat(np.minimum.reduceat(c, starts), sizes)[rows], c[rows]
+            _, once = np.unique(mix(g.view(np.uint64)) + c.view(np.uint64), return_index=True)
+            yield pa.RecordBatch.from_arrays([pa.array(g[once]), pa.array(np.full(len(once), -1, np.int32)), pa.array(c[once])], ["g", "part", "c"])
 
         def chunk(h: np.ndarray, c: np.ndarray, part: int) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.full(len(h), part, np.int32)), pa.array(c)], ["g", "part", "c"])
 
-        long = None
+        long, last = None, 0
         for batch in batches:
             if not batch.num_rows:
                 continue
             h = np.concatenate([h, batch.column(0).to_numpy(zero_copy_only=False)])
             c = np.concatenate([c, batch.column(1).to_numpy(zero_copy_only=False)])
+            jumps = np.flatnonzero(h[1:] - h[:-1] > SIZE_STEPS) + 1
             if long is not None:
-                end = int(np.searchsorted(h, long, "right"))
-                over = end < len(h)
+                over = len(jumps) > 0 or h[0] - last > SIZE_STEPS
+                end = 0 if h[0] - last > SIZE_STEPS else int(jumps[0]) if len(jumps) else len(h)
                 while end >= CHUNK or (over and end):
                     take = min(end, CHUNK)
-                    yield chunk(h[:take], c[:take], part)
+                    last = h[take - 1]
+                    yield chunk(np.full(take, long), c[:take], part)
                     h, c, end, part = h[take:], c[take:], end - take, part + 1
                 if not over:
                     continue
                 long = None
-            cut = int(np.searchsorted(h, h[-1], "left"))
+                jumps = np.flatnonzero(h[1:] - h[:-1] > SIZE_STEPS) + 1
+            cut = int(jumps[-1]) if len(jumps) else 0
             if cut:
                 yield from emit(h[:cut], c[:cut])
                 h, c = h[cut:], c[cut:]
@@ -326,16 +340,17 @@ def _lists(profiles: DataFrame) -> DataFrame:
                 if len(h) >= CHUNK:
                     long, part = h[0], 0
                 while len(h) >= CHUNK:
-                    yield chunk(h[:CHUNK], c[:CHUNK], part)
+                    last = h[CHUNK - 1]
+                    yield chunk(np.full(CHUNK, long), c[:CHUNK], part)
                     h, c, part = h[CHUNK:], c[CHUNK:], part + 1
         if long is not None and len(h):
-            yield chunk(h, c, part)
+            yield chunk(np.full(len(h), long), c, part)
         elif len(h):
             yield from emit(h, c)
 
-    keyed = profiles.filter("prefix is not null and k is not null").select("c", "prefix").mapInArrow(spread, "h long, c long")
-    found = keyed.repartition(fine(profiles.sparkSession), "h").sortWithinPartitions("h", "c").mapInArrow(runs, "g long, part int, c long")
-    return _split_long(materialize(found, "lists"), "g", "c").distinct()
+    keyed = profiles.filter("prefix is not null and k is not null").select("c", "prefix", "n").mapInArrow(spread, "h long, c long")
+    found = keyed.repartition(fine(profiles.sparkSession), F.shiftright("h", STEP_BITS)).sortWithinPartitions("h", "c").mapInArrow(runs, "g long, part int, c long")
+    return _split_long(materialize(found.distinct(), "lists"), "g", "c").distinct()
 
 
 def _bound_links(lists: DataFrame, vectors: DataFrame) -> DataFrame:
