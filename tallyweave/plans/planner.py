@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from functools import reduce
-from operator import and_
+from math import prod
+from operator import and_, mul
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,9 +15,26 @@ from tallyweave.operators.scans import scan
 from tallyweave.sources.catalog import Catalog
 
 from .ir import ColumnRef, Join, Query
-from .order import given_order, join_order
+from .order import Orderer, given_order, join_order
 from .parser import check, parse_query
 from .rewrite import share_sums, tidy
+from .stats import TableStats
+
+
+def join_columns(query: Query, b: int) -> list[ColumnRef]:
+    """Columns of a binding that join it with others."""
+    return sorted({c for j in query.joins if j.left.binding != j.right.binding for c in (j.left, j.right) if c.binding == b})
+
+
+def weight(b: int) -> str:
+    """Name of the column that counts the rows of a group of a binding."""
+    return f"b{b}_rows"
+
+
+def _value(query: Query, column: ColumnRef, eager: frozenset[int]) -> Column:
+    """What a joined row adds to the sum of a column: its value (or the sum of its group) for each row that the other groups stand for."""
+    factors = [F.col(weight(b)) for b in sorted(eager) if b != column.binding or column in join_columns(query, b)]
+    return reduce(mul, factors, F.col(column.name))
 
 
 class PlanError(ValueError):
@@ -27,18 +45,49 @@ def _equal(joins: list[Join]) -> Column:
     return reduce(and_, (F.col(j.left.name) == F.col(j.right.name) for j in joins))
 
 
+#: A relation is summed up by its join columns before the joins if it has so many rows for each group, and so many rows at all.
+EAGER_SHARE, EAGER_ROWS = 8, 100_000
+
+
 class Planner:
     """Plans queries over a catalog.
 
     ``order``: "cost" (statistics of the catalog, gathered once) or "text" (as written, no statistics).
     ``cross``: whether relations that no join connects are multiplied, instead of refused.
     ``hint``: a join strategy hint for every join, such as "shuffle_hash"; None leaves the choice to Catalyst.
+    ``eager_rows``: least rows of a relation that may be summed up before the joins (by cost only); None never does.
     """
 
-    def __init__(self, catalog: Catalog, order: str = "cost", cross: bool = False, hint: str | None = None):
+    def __init__(self, catalog: Catalog, order: str = "cost", cross: bool = False, hint: str | None = None, eager_rows: int | None = EAGER_ROWS):
         if order not in ("cost", "text"):
             raise ValueError(f"unknown order {order!r}")
-        self.catalog, self.order, self.cross, self.hint = catalog, order, cross, hint
+        self.catalog, self.order, self.cross, self.hint, self.eager_rows = catalog, order, cross, hint, eager_rows
+
+    def statistics(self, query: Query) -> dict[int, TableStats]:
+        return {r: self.catalog.stats(r) for r in set(query.relations)}
+
+    def eager(self, query: Query) -> frozenset[int]:
+        """Bindings to sum up before the joins: those whose join columns have few combinations for their rows.
+
+        Their rows then meet as one row for each combination, with a count and partial sums. So a fact table is shuffled
+        as partial sums, and many-to-many joins don't multiply rows. Signed mode only: a product of counts and values
+        is part of the sum, so it passes 2^63 only if the sum does.
+        """
+        if self.eager_rows is None or self.order != "cost" or len(query.relations) == 1 or any(self.catalog[r].unsigned for r in query.relations):
+            return frozenset()
+        orderer, out = Orderer(query, self.statistics(query)), set()
+        for b in query.bindings():
+            keys, rows = join_columns(query, b), orderer.base[b]
+            groups = prod(orderer.distinct(c) for c in keys)
+            if keys and rows >= self.eager_rows and rows >= EAGER_SHARE * groups:
+                out.add(b)
+        return frozenset(out)
+
+    def summed(self, query: Query, b: int, sums: tuple[ColumnRef, ...], rows: DataFrame) -> DataFrame:
+        """A binding's rows by its join columns: their number, and the sums of its other columns."""
+        keys = join_columns(query, b)
+        values = [F.sum(F.col(c.name)).alias(c.name) for c in sums if c.binding == b and c not in keys]
+        return rows.groupBy(*(c.name for c in keys)).agg(F.count("*").alias(weight(b)), *values)
 
     def binding(self, query: Query, b: int, sums: tuple[ColumnRef, ...]) -> DataFrame:
         """Scan of a binding with its filters and the equalities inside it."""
@@ -57,16 +106,17 @@ class Planner:
                 raise PlanError(f"the joins of {query.to_text()} don't connect its relations")
             return tuple(query.bindings())
         if self.order == "cost":
-            return join_order(query, {r: self.catalog.stats(r) for r in set(query.relations)}) or order
+            return join_order(query, self.statistics(query)) or order
         return order
 
-    def joined(self, query: Query, sums: tuple[ColumnRef, ...]) -> DataFrame:
+    def joined(self, query: Query, sums: tuple[ColumnRef, ...], eager: frozenset[int] = frozenset()) -> DataFrame:
         """All bindings joined; each new one by all predicates that link it to those before, so they become one multi-key join."""
         order = self.bindings_in_order(query)
-        out, done = self.binding(query, order[0], sums), {order[0]}
+        side = lambda b: self.summed(query, b, sums, self.binding(query, b, sums)) if b in eager else self.binding(query, b, sums)
+        out, done = side(order[0]), {order[0]}
         for b in order[1:]:
             links = [j for j in query.joins if {j.left.binding, j.right.binding} - done == {b} and j.left.binding != j.right.binding]
-            new = self.binding(query, b, sums)
+            new = side(b)
             new = new.hint(self.hint) if self.hint else new
             out = out.join(new, _equal(links), "inner") if links else out.crossJoin(new)
             done.add(b)
@@ -80,11 +130,13 @@ class Planner:
         """
         query = parse_query(query, self.catalog.widths()) if isinstance(query, str) else query
         check(query, self.catalog.widths())
-        shared = share_sums(query)
-        rows = self.joined(tidy(query), shared.sums)
+        shared, neat = share_sums(query), tidy(query)
         unsigned = any(self.catalog[r].unsigned for r in query.relations)
+        self.bindings_in_order(neat)  # refuses relations that aren't connected
+        eager = self.eager(neat)
+        rows = self.joined(neat, shared.sums, eager)
         total = wrapping_sum if unsigned else F.sum
-        one = rows.agg(*(total(F.col(c.name)).alias(f"p{k}") for k, c in enumerate(shared.sums)))
+        one = rows.agg(*(total(_value(neat, c, eager)).alias(f"p{k}") for k, c in enumerate(shared.sums)))
         return one.select(*(F.nullif(F.col(f"p{p}"), F.lit(0)).alias(f"s{k}") for k, p in enumerate(shared.place)))
 
     def answer(self, query: Query | str) -> DataFrame:

@@ -120,6 +120,22 @@ def test_random_queries_match_sql(spark, duck):
         query = random_query(rng)
         want = con.execute(core.relations_sql() + query.to_sql()).fetchall()
         assert [tuple(core.planner(spark, small).plan(query).first())] == want, query.to_text()
+        assert [tuple(core.planner(spark, small, eager_rows=0).plan(query).first())] == want, query.to_text()
+
+
+@pytest.mark.parametrize("name", ["self_join", "join_many_to_many", "join_star", "join_chain4", "join_cycle", "sum_equivalence", "join_multi_key", "checksum_zero", "checksum_empty"])
+def test_eager_sums_change_no_answer(spark, sf_dir, name):
+    text = core.TEXTS[name]
+    assert core.planner(spark, sf_dir, eager_rows=0).plan(text).first() == core.planner(spark, sf_dir, eager_rows=None).plan(text).first()
+
+
+def test_a_fact_table_is_summed_before_its_join(spark, sf_dir):
+    chosen = core.planner(spark, sf_dir, eager_rows=1000)
+    query = parse_query("6 2|0.2=1.0|0.0 0.2 1.1")
+    assert chosen.eager(query) == {0}
+    plan = chosen.plan(query)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" in plan.split("Aggregate [b0_c2")[0] and "b0_rows" in plan
+    assert core.planner(spark, sf_dir).eager(query) == frozenset()  # 60,000 rows are too few by default
 
 
 def test_every_join_order_gives_one_answer(spark, monkeypatch):
