@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 SENTENCE_MARKS = r"[.!?…。]"
 #: A line with at least NAV_LEAST of these and one for NAV_WORDS words or fewer is navigation.
 NAV_MARKS, NAV_LEAST, NAV_WORDS = "|›»•", 3, 3
+#: A line in which over so many % of the characters are symbols fails the punctuation rule too.
+SYMBOL_PERCENT = 5
 #: Phrases that mark a line as boilerplate (fixed values).
 BOILERPLATE = ("all rights reserved", "terms of use", "terms of service", "privacy policy", "cookie policy", "accept cookies", "enable javascript", "released under the", "licensed under", "subscribe to our", "click here to", "lorem ipsum")
 #: Share of the text (in %) that must be left.
@@ -46,10 +48,11 @@ def _repeated(windows: Column, width: int) -> Column:
 
 
 def line_passes(line: Column) -> Column:
-    """The line rules: it has a sentence mark, is not navigation and holds no boilerplate phrase."""
+    """The line rules: it has a sentence mark and few symbols, is not navigation and holds no boilerplate phrase."""
     marks = F.length(line) - F.length(F.translate(line, NAV_MARKS, ""))
     navigation = (marks >= NAV_LEAST) & (marks * NAV_WORDS >= F.size(words_of(line)) - marks)
-    return line.rlike(SENTENCE_MARKS) & ~navigation & ~line.rlike("(?i)" + "|".join(BOILERPLATE))
+    symbols = F.length(line) - F.length(F.translate(line, SYMBOLS, ""))
+    return line.rlike(SENTENCE_MARKS) & (symbols * 100 <= F.length(line) * SYMBOL_PERCENT) & ~navigation & ~line.rlike("(?i)" + "|".join(BOILERPLATE))
 
 
 def assess(docs: DataFrame, *, key: str = "doc_id", text: str = "text", width: int = 5) -> DataFrame:

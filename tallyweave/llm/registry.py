@@ -115,7 +115,7 @@ WITH texts AS (
   SELECT r, count(DISTINCT i + k) AS n FROM twice, range(0, 5) AS ks(k) GROUP BY r
 ), judged AS (
   SELECT r, sum(len(l)) AS total,
-    sum(CASE WHEN regexp_matches(l, '{quality.SENTENCE_MARKS}') AND NOT regexp_matches(lower(l), '{"|".join(quality.BOILERPLATE)}')
+    sum(CASE WHEN regexp_matches(l, '{quality.SENTENCE_MARKS}') AND (len(l) - len(translate(l, '{quality.SYMBOLS}', ''))) * 100 <= len(l) * {quality.SYMBOL_PERCENT} AND NOT regexp_matches(lower(l), '{"|".join(quality.BOILERPLATE)}')
       AND NOT ({_LINE_MARKS} >= {quality.NAV_LEAST} AND ({_LINE_MARKS}) * {quality.NAV_WORDS} >= len(list_filter(regexp_split_to_array(l, '[\x20\x09-\x0D]+'), lambda x: x <> '')) - ({_LINE_MARKS}))
       THEN len(l) ELSE 0 END) AS good
   FROM (SELECT r, unnest(lines) AS l FROM base) GROUP BY r
