@@ -11,11 +11,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import text_slices
+from .runtime import by_hash, text_slices
 
 ORDERS = (1, 2, 3)
 BUCKETS = 1 << 16
-#: Most labelled documents that the model is fitted on, those with the least hash of their key.
+#: About so many labelled documents at most the model is fitted on, chosen by the hash of their key.
 TRAIN_DOCS = 20_000
 MOST_LANGS = 200
 #: N-grams that count as independent evidence in the score.
@@ -97,13 +97,13 @@ class Model:
 
 
 def fit(docs: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str = "lang", most: int = TRAIN_DOCS, buckets: int = BUCKETS) -> Model:
-    """Fit on labelled texts: all of them, or the ``most`` whose key has the least hash.
+    """Fit on labelled texts: all of them, or about ``most`` chosen by the hash of their key.
 
     Executors count n-grams in ``buckets`` slots for each language; the driver gets at most
     buckets x languages sums, whatever the size of the corpus.
     """
-    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).cast("string").alias("l")).filter("k is not null and t is not null and l is not null")
-    chosen = rows.select("k", F.xxhash64("k").alias("h")).orderBy("h", "k").limit(most).select("k").distinct()
+    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).cast("string").alias("l")).filter("k is not null and l is not null")
+    sample = by_hash(rows, "k", most, rows.count()).filter("t is not null").select("t", "l")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
@@ -120,7 +120,6 @@ def fit(docs: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str =
             at = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at), pa.array(total[at])], ["l", "b", "n"])
 
-    sample = rows.join(F.broadcast(chosen), "k").select("t", "l")  # at most `most` keys
     sums = sample.mapInArrow(count, "l string, b long, n long").groupBy("l", "b").agg(F.sum("n").alias("n")).toArrow()
     names = sums.column("l").to_pylist()
     langs = sorted(set(names))

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tallyweave.functions.workers import shared_dir
 
@@ -37,6 +38,11 @@ def discard(*tables: DataFrame) -> None:
         where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def by_hash(rows: DataFrame, key: str, most: int, n: int) -> DataFrame:
+    """All of ``rows`` if ``n``, their number, is at most ``most``; else those whose key's hash falls in the share most/n. No sort, no shuffle."""
+    return rows if n <= most else rows.filter(F.pmod(F.xxhash64(key), F.lit(n)) < most)
+
+
 def fine(spark: SparkSession) -> int:
     """Shuffle partitions of the session, for explicit repartitioning by a key."""
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))

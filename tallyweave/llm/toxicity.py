@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .langid import _classes
-from .runtime import text_slices
+from .runtime import by_hash, text_slices
 from .words import mix
 
 #: Characters in the n-grams of a model, each order backing off to the one before. The long ones tell words whose parts are all common.
@@ -23,7 +23,7 @@ DISCOUNT = 0.75
 SLOTS = 1 << 18
 #: An n-gram needs so many counts to be kept; rarer ones are left to the backoff.
 LEAST_COUNT = 1
-#: Most labelled documents used, those with the least hash of their key. Up to this bound all are.
+#: About so many labelled documents are used at most, chosen by the hash of their key. Up to this bound all are.
 MOST_LABELS = 200_000
 FEATURES = 6
 #: A whole word needs so many occurrences in both classes to be compared as such.
@@ -233,8 +233,9 @@ def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str =
     """
     spark = docs.sparkSession
     said = labels.select(F.col(key).alias("k"), F.col(label).cast("int").alias("y")).filter("k is not null and y is not null")
-    said = said.filter(fold("k") != held_out).groupBy("k").agg(F.max("y").alias("y")).orderBy(F.xxhash64("k"), "k").limit(most)
-    known = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t")).join(F.broadcast(said), "k")  # at most `most` labels
+    said = said.filter(fold("k") != held_out)
+    said = by_hash(said, "k", most, said.count()).groupBy("k").agg(F.max("y").alias("y"))
+    known = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t")).join(F.broadcast(said), "k")  # about `most` labels at most
     rows = gram_counts(word_counts(known.filter(fold("k") != calibrate).select("t", "y"))).toArrow()
     k, slot, before, c0, c1 = (rows.column(c).to_numpy() for c in ("k", "slot", "before", "c0", "c1"))
     direct, backoff = np.zeros((len(ORDERS), 3, SLOTS), np.float32), np.ones((len(ORDERS), 3, SLOTS), np.float32)
