@@ -15,7 +15,7 @@ from tallyweave.operators.scans import scan
 from tallyweave.sources.catalog import Catalog
 
 from .ir import ColumnRef, Join, Query
-from .order import Orderer, given_order, join_order
+from .order import Orderer, explain_order, given_order, join_order
 from .parser import check, parse_query
 from .rewrite import share_sums, tidy
 from .stats import TableStats
@@ -143,3 +143,15 @@ class Planner:
         """One row, one column ``answer``: the sums as text, separated by blanks, NULL for a sum of 0."""
         sums = self.plan(query)
         return sums.select(F.concat_ws(" ", *(F.coalesce(F.col(c).cast("string"), F.lit("NULL")) for c in sums.columns)).alias("answer"))
+
+    def explain(self, query: Query | str) -> str:
+        """The query's parts, the join order with its estimates, the relations summed up early, and Spark's plan."""
+        query = parse_query(query, self.catalog.widths()) if isinstance(query, str) else query
+        neat = tidy(query)
+        order = explain_order(neat, self.statistics(neat)) if self.order == "cost" else f"bindings in order: {self.bindings_in_order(neat)}"
+        early = ", ".join(map(str, sorted(self.eager(neat)))) or "none"
+        return "\n".join([neat.tree(), order, f"summed before the joins: {early}", self.plan(query)._jdf.queryExecution().explainString(_formatted(self.catalog.spark))])
+
+
+def _formatted(spark):
+    return spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")

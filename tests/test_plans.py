@@ -146,3 +146,9 @@ def test_every_join_order_gives_one_answer(spark, monkeypatch):
             monkeypatch.setattr(planner.Planner, "bindings_in_order", lambda self, q, way=way: way)
             answers.add(tuple(core.planner(spark, "/root/testdata/sf0.001").plan(query).first()))
     assert len(answers) == 1
+
+
+def test_explain_shows_every_stage(spark, sf_dir):
+    text = core.planner(spark, sf_dir).explain(core.FLAGSHIP)
+    assert "Sum 0.0" in text and "+ binding" in text and "summed before the joins" in text and "Scan parquet" in text and "PushedFilters" in text
+    assert "bindings in order" in core.planner(spark, sf_dir, order="text").explain(core.FLAGSHIP)
