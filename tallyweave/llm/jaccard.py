@@ -20,8 +20,8 @@ from .words import mix, shingle_sets
 GROUPS, WIDE = 128, 1024
 #: Points in a leaf of the R-tree.
 LEAF = 32
-#: Members that one list or component has in a task; larger ones are split into pairs of chunks.
-CHUNK = 4096
+#: Members that one list or component has in a task, and shingles of a component; larger ones are split into pairs of chunks.
+CHUNK, CHUNK_SHINGLES = 4096, 4 << 20
 #: Set sizes fall in steps of 5 %; linked sets differ by 25 % at most, so by no more than SIZE_STEPS steps. The step takes the last byte
 #: of a key's hash, so that rows of a key are in order of size and no wider.
 SIZE_STEP, SIZE_STEPS, STEP_BITS = 1.05, 5, 8
@@ -417,7 +417,7 @@ def jaccard_components(docs: DataFrame, *, key: str = "doc_id", text: str = "tex
        through is kept as a spanning forest, not as pairs. Components of that graph hold all links.
     4. Inside each such component the texts are fetched once (behind a Bloom filter of their keys), and the
        R-tree again leads to pairs, now verified on the true sets. Components of true links are the result.
-    Lists and components of over CHUNK classes are split into pairs of chunks. Without a cap: no pair
+    Lists and components of over CHUNK classes (or CHUNK_SHINGLES shingles) are split into pairs of chunks. Without a cap: no pair
     that could link is dropped.
 
     Null and empty texts have 0 shingles and link with nothing: their component is their own key.
@@ -430,7 +430,7 @@ def jaccard_components(docs: DataFrame, *, key: str = "doc_id", text: str = "tex
     classes = materialize(profiles.filter("c is not null and k is not null").groupBy("c").agg(F.min("k").alias("least"), F.first("n").alias("n"), F.first("vector", ignorenulls=True).alias("vector")), "classes")
     loose = connected_components(_bound_links(_lists(profiles), classes.select("c", "n", "vector")), "a", "b")
 
-    wanted = materialize(classes.join(loose.withColumnRenamed("node", "c"), "c").select("c", F.col("least").alias("k"), F.col("component").alias("g")), "wanted")
+    wanted = materialize(classes.join(loose.withColumnRenamed("node", "c"), "c").select("c", F.col("least").alias("k"), "n", F.col("component").alias("g")), "wanted")
     bloom = spark.sparkContext.broadcast(BlockedBloom.build(wanted.select(F.xxhash64("k").alias("h")), "h", wanted.count()).words)
 
     @F.arrow_udf("boolean")
@@ -438,7 +438,8 @@ def jaccard_components(docs: DataFrame, *, key: str = "doc_id", text: str = "tex
         return pa.array(BlockedBloom(bloom.value).might_hold(hashes.to_numpy(zero_copy_only=False)))
 
     texts = rows.filter("k is not null").filter(possible(F.xxhash64("k")))
-    sizes = wanted.groupBy("g").count().select("g", F.when(F.col("count") > CHUNK, F.ceil(F.col("count") / CHUNK)).otherwise(0).cast("int").alias("chunks"))
+    chunks = F.ceil(F.greatest(F.count("*") / CHUNK, F.sum("n") / CHUNK_SHINGLES)).cast("int")
+    sizes = wanted.groupBy("g").agg(F.when(chunks > 1, chunks).otherwise(0).alias("chunks"))
     placed = wanted.join(sizes, "g").select("c", "k", "g", F.when(F.col("chunks") > 0, F.pmod(F.xxhash64("c"), F.col("chunks")).cast("int")).otherwise(-1).alias("part"))
     groups = _split_long(placed, "g", "c", "k").join(texts, "k").select("g", "c", "t")
     links = _true_links(groups.repartition(fine(spark), "g").sortWithinPartitions("g"))

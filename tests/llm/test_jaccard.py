@@ -52,9 +52,10 @@ def families(rng):
     return rows
 
 
-@pytest.mark.parametrize("chunk", [4096, 16])
-def test_families(spark, monkeypatch, chunk):
+@pytest.mark.parametrize("chunk,shingles", [(4096, 4 << 20), (16, 4 << 20), (4096, 5000)])
+def test_families(spark, monkeypatch, chunk, shingles):
     monkeypatch.setattr(jaccard, "CHUNK", chunk)
+    monkeypatch.setattr(jaccard, "CHUNK_SHINGLES", shingles)
     rows = families(random.Random(5))
     check(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), rows)
 
