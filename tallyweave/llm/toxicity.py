@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import zlib
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -11,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .langid import _classes
-from .runtime import by_hash, text_slices
+from .runtime import by_hash, discard, materialize, text_slices
 from .words import mix
 
 #: Characters in the n-grams of a model, each order backing off to the one before. The long ones tell words whose parts are all common.
@@ -19,8 +20,6 @@ ORDERS = (1, 2, 3, 4, 6, 8, 10)
 #: Weight of the shared counts in a context, as a number of occurrences.
 SHARED = 8.0
 DISCOUNT = 0.75
-#: Slots of a hashed n-gram table of one order.
-SLOTS = 1 << 18
 #: An n-gram needs so many counts to be kept; rarer ones are left to the backoff.
 LEAST_COUNT = 1
 #: About so many labelled documents are used at most, chosen by the hash of their key. Up to this bound all are.
@@ -28,6 +27,10 @@ MOST_LABELS = 200_000
 FEATURES = 6
 #: A whole word needs so many occurrences in both classes to be compared as such.
 LEAST_WORD = 8
+#: The driver fetches about so many n-grams at once.
+FETCHED = 1 << 19
+#: Words whose odds a worker remembers between texts; with more it starts over.
+KNOWN_WORDS = 1 << 20
 
 
 def _word_codes(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -55,8 +58,8 @@ def _hash_words(code: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
 
 
 def _grams(code: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Characters of words with a start and an end mark: for each place the word and the distance from its start, and for each of ORDERS the hashes of the
-    n-gram that ends there and of its context (the n-gram without its last character).
+    """Characters of words with a start and an end mark: for each place the word, the distance from its start and the character, and for each of ORDERS the
+    64-bit code of the n-gram that ends there; the code less the character is that of its context (the n-gram without its last character).
 
     An n-gram that would reach over the start is cut at the mark.
     """
@@ -68,34 +71,25 @@ def _grams(code: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.n
     body = (inner >= 0) & (inner < (ends - starts)[word])
     chars[body] = code[(starts[word] + inner)[body]]
     chars += np.uint64(1)
-    grams, contexts = np.zeros((2, len(ORDERS), len(chars)), np.uint64)
+    grams = np.zeros((len(ORDERS), len(chars)), np.uint64)
     total, factor = np.zeros(len(chars), np.uint64), 1
     for k in range(ORDERS[-1]):
         ok = np.flatnonzero(inner + 1 >= k)  # places with k characters before them in the word
         total[ok] += chars[ok - k] * np.uint64(factor)
         factor = factor * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF
         if k + 1 in ORDERS:
-            i = ORDERS.index(k + 1)
-            grams[i], contexts[i] = mix(total), mix(total - chars) if k else 0
-    return word, inner, grams, contexts
-
-
-def _slots(hashes: np.ndarray) -> np.ndarray:
-    return (hashes >> np.uint64(64 - (SLOTS.bit_length() - 1))).astype(np.int64)
-
-
-#: Bits that the words before a word are hashed to.
-CONTEXTS = 64
+            grams[ORDERS.index(k + 1)] = total
+    return word, inner, chars, grams
 
 
 def word_counts(labelled: DataFrame) -> DataFrame:
     """(w, n0, n1) for (t, y): after how many different words a word occurs, in each class.
 
-    These are Kneser-Ney continuation counts: copies and near copies of a text add nothing, a word put in at many places adds much. Each word
-    has a bitmap of hashed predecessors for each class, merged by OR; linear counting estimates its size (about 300 at most).
+    These are Kneser-Ney continuation counts: copies and near copies of a text add nothing, a word put in at many places adds much. They
+    have no upper bound: the different (word, predecessor) pairs are counted, each with the classes it occurs in, predecessors by their 64-bit hash.
     """
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             label = batch.column(1).to_numpy(zero_copy_only=False)
             for first, _, data, at in text_slices(batch.column(0)):
@@ -105,77 +99,132 @@ def word_counts(labelled: DataFrame) -> DataFrame:
                 h = _hash_words(code, starts, ends)
                 before = np.concatenate([[np.uint64(0)], h[:-1]])
                 before[1:][row[1:] != row[:-1]] = 0
-                bit = np.uint64(1) << (mix(before) >> np.uint64(58))
-                order = np.argsort(h, kind="stable")
-                new = np.flatnonzero(np.concatenate([[True], np.diff(h[order]) != 0]))
-                y = label[first + row[order]]
-                masks = [np.bitwise_or.reduceat(np.where(y == c, bit[order], np.uint64(0)), new).view(np.int64) for c in (0, 1)]
+                order = np.lexsort((before, h))
+                new = np.flatnonzero(np.concatenate([[True], (np.diff(h[order]) != 0) | (np.diff(before[order]) != 0)]))
+                classes = np.bitwise_or.reduceat(np.where(label[first + row[order]] == 1, 2, 1).astype(np.int8), new)
                 raw, where = code.astype("<u4").tobytes(), order[new]
                 words = [raw[4 * a : 4 * b].decode("utf-32-le") for a, b in zip(starts[where].tolist(), ends[where].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), *map(pa.array, masks)], ["w", "m0", "m1"])
+                yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(before[where].view(np.int64)), pa.array(classes)], ["w", "before", "classes"])
 
-    parts = labelled.mapInArrow(count, "w string, m0 long, m1 long")
-    merged = parts.groupBy("w").agg(F.bit_or("m0").alias("m0"), F.bit_or("m1").alias("m1"))
-    size = lambda m: F.round(-CONTEXTS * F.log(1 - F.least(F.bit_count(m), F.lit(CONTEXTS - 0.6)) / CONTEXTS)).cast("long")
-    return merged.select("w", size("m0").alias("n0"), size("m1").alias("n1"))
+    found = labelled.filter("y in (0, 1)").mapInArrow(pairs, "w string, before long, classes byte").groupBy("w", "before").agg(F.bit_or("classes").alias("classes"))
+    return found.groupBy("w").agg(*(F.count_if(F.col("classes").bitwiseAND(F.lit(c).cast("byte")) > 0).alias(n) for c, n in ((1, "n0"), (2, "n1"))))
 
 
 def gram_counts(words: DataFrame) -> DataFrame:
-    """(k, slot, before, c0, c1) for words with counts: counts of n-grams of order ORDERS[k] (of whole words for the last k), with the slot of their context.
+    """(k, gram, last, c0, c1) for words with counts: counts of n-grams of order ORDERS[k] (of whole words for the last k), by their 64-bit code, with their last character.
 
     The highest order has the words' counts; the others, as in Kneser-Ney, count the different words that an n-gram occurs in.
     """
 
+    def rows(k: int, gram: np.ndarray, last: np.ndarray, n: Iterable[np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(gram), k, np.int8)), pa.array(gram.view(np.int64)), pa.array(last.astype(np.int32)), *map(pa.array, n)], ["k", "gram", "last", "c0", "c1"])
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in (1, 2)])
             for first, _, data, at in text_slices(batch.column(0)):
                 codes = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32)
                 edges = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[at]
-                whole = _slots(_hash_words(codes, edges[:-1], edges[1:]))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(whole), len(ORDERS))), pa.array(whole), pa.array(np.zeros(len(whole), np.int64)), *(pa.array(x[first : first + len(whole)]) for x in n)], ["k", "slot", "before", "c0", "c1"])
-                word, inner, grams, contexts = _grams(codes, edges[:-1], edges[1:])
+                whole = _hash_words(codes, edges[:-1], edges[1:])
+                yield rows(len(ORDERS), whole, np.zeros(len(whole)), n[:, first : first + len(whole)])
+                word, inner, chars, grams = _grams(codes, edges[:-1], edges[1:])
                 use = np.flatnonzero(inner >= 0)
                 mine = n[:, first + word[use]]
                 for k in range(len(ORDERS)):
                     weight = mine if k == len(ORDERS) - 1 else np.minimum(mine, 1)
-                    slot, before = _slots(grams[k][use]), _slots(contexts[k][use])
-                    both, where, kind = np.unique(slot * SLOTS + before, return_index=True, return_inverse=True)
-                    sums = [np.bincount(kind, weights=w, minlength=len(both)).astype(np.int64) for w in weight]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(both), k)), pa.array(slot[where]), pa.array(before[where]), pa.array(sums[0]), pa.array(sums[1])], ["k", "slot", "before", "c0", "c1"])
+                    kinds, where, kind = np.unique(grams[k][use], return_index=True, return_inverse=True)
+                    yield rows(k, kinds, chars[use][where], [np.bincount(kind, weights=w, minlength=len(kinds)).astype(np.int64) for w in weight])
+
+    parts = words.mapInArrow(count, "k byte, gram long, last int, c0 long, c1 long")
+    return parts.groupBy("k", "gram").agg(F.min("last").alias("last"), F.sum("c0").alias("c0"), F.sum("c1").alias("c1")).filter(f"c0 + c1 >= CASE WHEN k < {len(ORDERS)} THEN {LEAST_COUNT} ELSE {LEAST_WORD} END")
+
+
+class Table:
+    """Places of 64-bit codes in a list sorted by their scramble, found by its leading bits; absent ones get the place after the last."""
 
-    parts = words.mapInArrow(count, "k long, slot long, before long, c0 long, c1 long")
-    return parts.groupBy("k", "slot").agg(F.min("before").alias("before"), F.sum("c0").alias("c0"), F.sum("c1").alias("c1")).filter(f"c0 + c1 >= CASE WHEN k < {len(ORDERS)} THEN {LEAST_COUNT} ELSE {LEAST_WORD} END")
+    def __init__(self, keys: np.ndarray) -> None:
+        """``keys``: different scrambled codes, sorted."""
+        self.__setstate__(np.append(keys, np.uint64(0xFFFFFFFFFFFFFFFF)))
+
+    def __getstate__(self) -> np.ndarray:
+        return self.keys
+
+    def __setstate__(self, keys: np.ndarray) -> None:
+        bits = max(1, len(keys).bit_length() - 2)
+        self.keys, self.shift = keys, np.uint64(64 - bits)
+        #: For each value of the leading bits the place of the first key from it on.
+        self.first = np.searchsorted(keys, np.arange(1 << bits, dtype=np.uint64) << self.shift).astype(np.int32 if len(keys) < 1 << 31 else np.int64)
+
+    def find(self, codes: np.ndarray) -> np.ndarray:
+        hashes = mix(codes)
+        at = self.first[(hashes >> self.shift).astype(np.int64)]
+        left = np.flatnonzero(self.keys[at] < hashes)
+        while len(left):
+            at[left] += 1
+            left = left[self.keys[at[left]] < hashes[left]]
+        at[self.keys[at] != hashes] = len(self.keys) - 1
+        return at
 
 
 @dataclass
 class Model:
-    """For each order: discounted probabilities of n-grams and backoff weights of contexts, by slot, for each class and for both; then the logistic weights.
+    """For each order: discounted probabilities of n-grams and backoff weights of contexts, for each class and for both, in tables as large as their number; then the logistic weights.
 
     A class backs off to its shorter n-gram, scaled as the shared model scales it; so what is rare has one probability in both classes.
     """
 
-    direct: np.ndarray  # ORDERS x 3 x SLOTS, float32
-    backoff: np.ndarray  # ORDERS x 3 x SLOTS, float32, 1 for an unseen context
-    words: np.ndarray  # SLOTS, float32: log-odds of whole words, 0 for rare ones
+    grams: list[Table]
+    direct: list[np.ndarray]  # for each order n-grams x 3, float32, 0 for an unseen one
+    contexts: list[Table]
+    backoff: list[np.ndarray]  # for each order contexts x 3, float32, 1 for an unseen one
+    words: Table
+    whole: np.ndarray  # float32: log-odds of whole words, 0 for rare ones
     weights: np.ndarray
     centre: np.ndarray
     scale: np.ndarray
 
+    def __getstate__(self) -> dict:
+        """Each executor keeps a broadcast as a file; probabilities repeat, so they pack well."""
+        packed = {k: [zlib.compress(x.tobytes(), 1) for x in getattr(self, k)] for k in ("direct", "backoff")}
+        return {k: v for k, v in vars(self).items() if k not in ("shared", "known")} | packed
+
+    def __setstate__(self, state: dict) -> None:
+        for k in ("direct", "backoff"):
+            packed = state.pop(k)
+            setattr(self, k, [np.frombuffer(zlib.decompress(packed.pop(0)), np.float32).reshape(-1, 3) for _ in ORDERS])
+        vars(self).update(state)
+
     def word_odds(self, code: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """log P(word | toxic) - log P(word | ordinary) for each word."""
-        word, inner, grams, contexts = _grams(code, starts, ends)
+        word, inner, chars, grams = _grams(code, starts, ends)
         use = np.flatnonzero(inner >= 0)
         p = np.full((3, len(use)), 1e-4)
         for k in range(len(ORDERS)):
-            gram, before = _slots(grams[k][use]), _slots(contexts[k][use])
-            shared = self.direct[k, 2, gram] + self.backoff[k, 2, before] * p[2]
+            gram = grams[k][use]
+            direct = self.direct[k][self.grams[k].find(gram)]
+            backoff = self.backoff[k][self.contexts[k].find(gram - chars[use] if k else np.zeros(1, np.uint64))]
+            shared = direct[:, 2] + backoff[:, 2] * p[2]
             for y in (0, 1):
-                p[y] = self.direct[k, y, gram] + self.backoff[k, y, before] * p[y] * (shared / p[2])
+                p[y] = direct[:, y] + backoff[:, y] * p[y] * (shared / p[2])
             p[2] = shared
         logs = np.log(p)
         return np.bincount(word[use], weights=logs[1] - logs[0], minlength=len(starts))
 
+    def remembered_odds(self, kinds: np.ndarray, code: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """:meth:`word_odds` of different words, given by their sorted hashes too; up to KNOWN_WORDS are remembered."""
+        keys, odds = getattr(self, "known", (np.zeros(0, np.uint64), np.zeros(0)))
+        at = np.searchsorted(keys, kinds)
+        new = at == len(keys)
+        new[~new] = keys[at[~new]] != kinds[~new]
+        out = np.empty(len(kinds))
+        out[~new] = odds[at[~new]]
+        out[new] = self.word_odds(code, starts[new], ends[new])
+        if len(keys) + new.sum() > KNOWN_WORDS:
+            self.known = kinds, out
+        else:
+            self.known = np.insert(keys, at[new], kinds[new]), np.insert(odds, at[new], out[new])
+        return out
+
     def features(self, column: pa.Array) -> np.ndarray:
         """For each text: mean of the words' log-odds by character, the largest, the mean of the three largest, the largest of whole words, the share of words over 3, and log size."""
         out = np.zeros((len(column), FEATURES))
@@ -184,8 +233,8 @@ class Model:
             if not len(starts):
                 continue
             kinds, where, kind = np.unique(_hash_words(code, starts, ends), return_index=True, return_inverse=True)
-            odds = self.word_odds(code, starts[where], ends[where])[kind]
-            whole = self.words[_slots(kinds)][kind].astype(np.float64)
+            odds = self.remembered_odds(kinds, code, starts[where], ends[where])[kind]
+            whole = self.whole[self.words.find(kinds)][kind].astype(np.float64)
             bounds = np.searchsorted(row, np.arange(end - first + 1))
             full = np.flatnonzero(np.diff(bounds) > 0)
             lo, n = bounds[:-1][full], np.diff(bounds)[full]
@@ -201,10 +250,6 @@ class Model:
             out[first + full] = np.stack([add(odds) / add((ends - starts).astype(float)), np.clip(top[:, 0], -5, 12), np.clip(top.mean(axis=1), -5, 12), np.maximum.reduceat(whole, lo), add((odds > 3).astype(float)) / n, np.log(n)], axis=1)
         return out
 
-    def score(self, features: np.ndarray) -> np.ndarray:
-        x = (features - self.centre) / self.scale
-        return 1 / (1 + np.exp(-np.clip(x @ self.weights[:-1] + self.weights[-1], -50, 50)))
-
 
 def _logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1e-2, steps: int = 40) -> np.ndarray:
     """Weights and bias by Newton steps."""
@@ -229,33 +274,58 @@ def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str =
     """Fit on labelled documents outside the fold ``held_out``: counts on all folds but ``calibrate``, logistic weights on that one.
 
     Counts cover all labelled documents (up to ``most``). Executors count words by text and n-grams by word; the driver gets
-    n-gram sums in hashed tables of fixed size and five numbers for each document of the calibration fold.
+    the sums of all different n-grams, part by part, and six numbers for each document of the calibration fold.
     """
     spark = docs.sparkSession
     said = labels.select(F.col(key).alias("k"), F.col(label).cast("int").alias("y")).filter("k is not null and y is not null")
     said = said.filter(fold("k") != held_out)
     said = by_hash(said, "k", most, said.count()).groupBy("k").agg(F.max("y").alias("y"))
     known = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t")).join(F.broadcast(said), "k")  # about `most` labels at most
-    rows = gram_counts(word_counts(known.filter(fold("k") != calibrate).select("t", "y"))).toArrow()
-    k, slot, before, c0, c1 = (rows.column(c).to_numpy() for c in ("k", "slot", "before", "c0", "c1"))
-    direct, backoff = np.zeros((len(ORDERS), 3, SLOTS), np.float32), np.ones((len(ORDERS), 3, SLOTS), np.float32)
-    for i in range(len(ORDERS)):
-        mine = k == i
-        for y, c in enumerate((c0, c1, c0 + c1)):
-            c = c[mine].astype(np.float64)
-            use = c > 0
-            context, grams, c = before[mine][use], slot[mine][use], c[use]
+    counts = materialize(gram_counts(word_counts(known.filter(fold("k") != calibrate).select("t", "y"))), "grams")
+
+    many = {r.k: r.n for r in counts.groupBy("k").agg(F.count("*").alias("n")).collect()}
+
+    def of_order(k: int) -> tuple[np.ndarray, ...]:
+        """Scrambled codes, sorted, with their contexts, c0 and c1; fetched in parts, so that the driver never holds all columns twice."""
+        parts, n = [], -(-many.get(k, 1) // FETCHED)
+        for part in range(n):
+            rows = counts.filter((F.col("k") == k) & (F.pmod("gram", F.lit(n)) == part)).select("gram", "last", "c0", "c1").toArrow()
+            gram, last, c0, c1 = (x.to_numpy() for x in rows.columns)
+            code = gram.view(np.uint64)
+            context = mix(code - last.astype(np.uint64)) if k else np.zeros(len(code), np.uint64)
+            parts.append((mix(code), context, *(c.astype(np.min_scalar_type(int(c.max(initial=1)))) for c in (c0, c1))))
+            del rows, gram, last, c0, c1, code, context
+        columns = [np.concatenate(x) for x in zip(*parts, strict=True)]
+        del parts
+        order = np.argsort(columns[0])
+        for i, c in enumerate(columns):
+            columns[i] = c[order]
+        return tuple(columns)
+
+    grams, direct, contexts, backoff = [], [], [], []
+    for i in reversed(range(len(ORDERS))):  # the largest while there is room
+        key, before, c0, c1 = of_order(i)
+        kinds, context = np.unique(before, return_inverse=True)
+        del before
+        p, rest = np.zeros((len(key) + 1, 3), np.float32), np.ones((len(kinds) + 1, 3), np.float32)
+        for y, c in enumerate((c0, c1, c0.astype(np.int64) + c1)):
+            use = np.flatnonzero(c > 0)
             more = SHARED if y < 2 else 0.0
-            total = np.bincount(context, weights=c, minlength=SLOTS) + more
-            kinds = np.bincount(context, minlength=SLOTS)
-            seen = kinds > 0
-            direct[i, y, grams] = np.maximum(c - DISCOUNT, 0) / total[context]
-            backoff[i, y, seen] = (DISCOUNT * kinds[seen] + more) / total[seen]
-    words, mine = np.zeros(SLOTS, np.float32), k == len(ORDERS)
-    words[slot[mine]] = np.log((c1[mine] + 1) / (c1[mine].sum() + 1)) - np.log((c0[mine] + 1) / (c0[mine].sum() + 1))
-    model = Model(direct, backoff, words, np.zeros(FEATURES + 1), np.zeros(FEATURES), np.ones(FEATURES))
-    shared = spark.sparkContext.broadcast(model)
-    got = known.filter(fold("k") == calibrate).select("y", _features(shared)(F.col("t")).alias("x")).toArrow()
+            total = np.bincount(context[use], weights=c[use], minlength=len(kinds)) + more
+            different = np.bincount(context[use], minlength=len(kinds))
+            seen = np.flatnonzero(different > 0)
+            p[use, y] = np.maximum(c[use] - DISCOUNT, 0) / total[context[use]]
+            rest[seen, y] = (DISCOUNT * different[seen] + more) / total[seen]
+        for made, one in ((grams, Table(key)), (direct, p), (contexts, Table(kinds)), (backoff, rest)):
+            made.insert(0, one)
+        del key, c0, c1, c, kinds, context, use, total, different, seen, p, rest, one
+    key, _, *n = of_order(len(ORDERS))
+    c0, c1 = (x.astype(np.int64) for x in n)
+    discard(counts)
+    odds = np.log((c1 + 1) / (c1.sum() + 1)) - np.log((c0 + 1) / (c0.sum() + 1))
+    model = Model(grams, direct, contexts, backoff, Table(key), np.append(odds, 0).astype(np.float32), np.zeros(FEATURES + 1), np.zeros(FEATURES), np.ones(FEATURES))
+    model.shared = spark.sparkContext.broadcast(model)  # the tables; the weights below go with each task
+    got = known.filter(fold("k") == calibrate).select("y", _features(model.shared)(F.col("t")).alias("x")).toArrow()
     y = got.column("y").to_numpy().astype(np.float64)
     if len(y):
         x = np.array(got.column("x").to_pylist(), np.float64)
@@ -276,16 +346,17 @@ def score(docs: DataFrame, model: Model, *, key: str = "doc_id", text: str = "te
     """(key, score, predicted) for each row: the chance of the toxic label, and whether it is at least ``threshold``.
 
     Each word's log-likelihoods under the two class models are compared; the text's evidence is their difference
-    normalised by length, over the whole text and over its strongest words. The model (fixed-size tables) is broadcast; no shuffle.
+    normalised by length, over the whole text and over its strongest words. The model (as large as its number of different n-grams) is broadcast; no shuffle.
 
     Null and empty texts get the score of a text without words. Null keys and repeated rows are kept row by row; other
     columns are ignored; an empty table gives an empty result. With no labels every score is 0.5.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared, weights, centre, scale = model.shared, model.weights, model.centre, model.scale
 
     @F.arrow_udf("double")
     def judge(texts: pa.Array) -> pa.Array:
-        return pa.array(shared.value.score(shared.value.features(texts)))
+        x = (shared.value.features(texts) - centre) / scale
+        return pa.array(1 / (1 + np.exp(-np.clip(x @ weights[:-1] + weights[-1], -50, 50))))
 
     out = docs.select(F.col(key).alias("k"), judge(F.col(text)).alias("score"))
     return out.select(F.col("k").alias(key), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

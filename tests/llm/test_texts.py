@@ -9,6 +9,7 @@ import pyarrow as pa
 import pytest
 from support import same_rows
 from tallyweave.llm import langid, quality, registry, tokens, toxicity, urls
+from tallyweave.llm.words import mix
 
 MODEL = registry.tokenizer_path("piece_bpe_32k.model")
 FILES = ["piece_bpe_32k.model", "byte_bpe_50k.json", "word_bpe_49k.json", "byte_bpe_multi_50k.tiktoken"]
@@ -169,6 +170,38 @@ def test_words_count_their_predecessors_once(spark):
     assert got["vile"] == (0, 1) and 30 <= got["spread"][0] <= 50 and got["spread"][1] == 0
 
 
+def test_predecessors_are_counted_without_a_bound(spark):
+    name = lambda k: "p" + "".join(chr(97 + int(c)) for c in str(k))
+    rows = [(" ".join(f"{name(k)} often" for k in range(n, n + 100)), y) for y, many in ((0, 3000), (1, 700)) for n in range(0, many, 100)]
+    rows += [("often", 0), ("often", 1), (" ".join(f"{name(k)} once" for k in range(50)), 0)] * 3
+    got = {r.w: (r.n0, r.n1) for r in toxicity.word_counts(spark.createDataFrame(rows, "t string, y int")).collect()}
+    assert got["often"] == (3001, 701) and got["once"] == (50, 0)
+
+
+def test_ngrams_are_kept_apart(spark):
+    """More different n-grams than a table of 2^18 slots holds, each with its own counts and found in its place."""
+    rng = random.Random(3)
+    words = sorted({"".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=8)) for _ in range(60_000)})
+    counts = [(w, k % 3, k % 2) for k, w in enumerate(words) if k % 3 or k % 2]
+    rows = toxicity.gram_counts(spark.createDataFrame(counts, "w string, n0 long, n1 long")).toPandas()
+    for k, order in enumerate(toxicity.ORDERS):
+        want = Counter(), Counter()
+        for w, *n in counts:
+            marked = f"^{w}$"
+            for g in (marked[max(0, e - order) : e] for e in range(2, len(marked) + 1)):
+                for y in (0, 1):
+                    want[y][g] += n[y] if order == toxicity.ORDERS[-1] else min(n[y], 1)
+        mine = rows[rows.k == k]
+        kinds = sorted((want[0][g], want[1][g]) for g in want[0])
+        assert sorted(zip(mine.c0, mine.c1, strict=True)) == kinds
+    assert len(mine) > 1 << 18
+    codes = mine.gram.to_numpy().view(np.uint64)
+    codes = codes[np.argsort(mix(codes))]
+    table = toxicity.Table(mix(codes))
+    assert (table.find(codes) == np.arange(len(codes))).all() and (table.find(codes + np.uint64(1))[~np.isin(codes + np.uint64(1), codes)] == len(codes)).all()
+    assert toxicity.Table(codes[:0]).find(codes[:9]).tolist() == [0] * 9
+
+
 def test_rare_words_have_one_probability_in_both_classes(spark):
     words = spark.createDataFrame([("common", 50, 50), ("vile", 0, 60), ("rareone", 1, 0), ("raretwo", 0, 1)], "w string, n0 long, n1 long")
     rows = toxicity.gram_counts(words).collect()
