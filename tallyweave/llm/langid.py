@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import by_hash, text_slices
+from .runtime import text_slices
 
 ORDERS = (1, 2, 3)
 BUCKETS = 1 << 16
@@ -97,13 +97,19 @@ class Model:
 
 
 def fit(docs: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str = "lang", most: int = TRAIN_DOCS, buckets: int = BUCKETS) -> Model:
-    """Fit on labelled texts: all of them, or about ``most`` chosen by the hash of their key.
+    """Fit on labelled texts: all of them, or about ``most``, for each language an equal share of that chosen by the hash of their key; of a language with less, all.
 
     Executors count n-grams in ``buckets`` slots for each language; the driver gets at most
     buckets x languages sums, whatever the size of the corpus.
     """
-    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).cast("string").alias("l")).filter("k is not null and l is not null")
-    sample = by_hash(rows, "k", most, rows.count()).filter("t is not null").select("t", "l")
+    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).cast("string").alias("l")).filter("k is not null and l is not null and t is not null")
+    sizes = {r.l: r.n for r in rows.groupBy("l").agg(F.count("*").alias("n")).collect()}
+    each = max(1, most // max(1, len(sizes)))
+    large = [lang for lang, n in sizes.items() if n > each] if sum(sizes.values()) > most else []
+    keep = ~F.col("l").isin(large)
+    for name in large:
+        keep = keep | ((F.col("l") == name) & (F.pmod(F.xxhash64("k"), F.lit(sizes[name])) < each))
+    sample = rows.filter(keep).select("t", "l")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}

@@ -144,6 +144,12 @@ def test_odd_texts_have_a_language(spark, odd, empty):
     assert langid.predict(odd, model).columns[: len(odd.columns)] == odd.columns
 
 
+def test_rare_languages_are_in_the_sample(spark):
+    rows = [(k, f"common words of a large language {k}", "xx" if k % 2 else "yy") for k in range(3000)] + [(10_000 + k, f"seldom speech {k}", f"r{k}") for k in range(8)]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), most=100)
+    assert model.langs == sorted({"xx", "yy", *(f"r{k}" for k in range(8))})
+
+
 # toxicity
 
 
