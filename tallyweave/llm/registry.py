@@ -59,7 +59,7 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.replace_entities(_table(spark, sf_dir, "documents"), secret=PII_SECRET).select("doc_id", "text", "n_entities")
+    return pii.replace_entities(_table(spark, sf_dir, "documents"), secret=pii.session_secret(spark)).select("doc_id", "text", "n_entities")
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:

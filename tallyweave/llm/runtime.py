@@ -43,6 +43,30 @@ def by_hash(rows: DataFrame, key: str, most: int, n: int) -> DataFrame:
     return rows if n <= most else rows.filter(F.pmod(F.xxhash64(key), F.lit(n)) < most)
 
 
+#: Counters of the sketch of a join's keys, and the rows that a key's share of a task may have before it is salted.
+KEY_COUNTERS, SALTED_ROWS = 4096, 1000
+
+
+def skewed_join(many: DataFrame, one: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """``many`` joined with ``one``, in which a key stands once, whatever share of ``many`` a key has.
+
+    Rows are counted by KEY_COUNTERS hashes of their keys. Where a counter is over SALTED_ROWS and twice the mean of a task, its rows
+    are dealt to that many parts more, and the rows of ``one`` under it repeated as often. ``many`` must be a written table.
+    """
+    spark = many.sparkSession
+    counter = F.pmod(F.xxhash64(*on), F.lit(KEY_COUNTERS)).cast("int")
+    counts = np.zeros(KEY_COUNTERS, np.int64)
+    for at, n in many.groupBy(counter.alias("at")).count().collect():  # at most KEY_COUNTERS rows
+        counts[at] = n
+    parts = counts // max(SALTED_ROWS, 2 * int(counts.sum()) // fine(spark)) + 1
+    if parts.max() == 1:
+        return many.join(one, on, how)
+    share = F.element_at(F.lit(parts.tolist()).cast("array<int>"), counter + 1)
+    dealt = many.withColumn("__salt", F.pmod(F.monotonically_increasing_id(), share).cast("int"))
+    repeated = one.withColumn("__salt", F.explode(F.sequence(F.lit(0), share - 1)))
+    return dealt.join(repeated, [*on, "__salt"], how).drop("__salt")
+
+
 def fine(spark: SparkSession) -> int:
     """Shuffle partitions of the session, for explicit repartitioning by a key."""
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
