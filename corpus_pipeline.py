@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyweave.llm import decontaminate, jaccard, langid, packing, pii
-from tallyweave.llm.registry import PII_SECRET, tokenizer_path
+from tallyweave.llm.registry import tokenizer_path
 from tallyweave.llm.runtime import materialize
 
 #: A document whose language is less certain than this goes.
@@ -41,7 +41,7 @@ def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with surrogates for personal data and secrets; n_chars follows the new text."""
-    out = pii.replace_entities(docs, secret=PII_SECRET, count_column=None)
+    out = pii.replace_entities(docs, secret=pii.session_secret(spark), count_column=None)
     kind = docs.schema["n_chars"].dataType if "n_chars" in docs.columns else None
     return out if kind is None else out.withColumn("n_chars", F.length("text").cast(kind))
 
