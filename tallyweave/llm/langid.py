@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import text_slices
+from .runtime import code_points, text_slices
 
 ORDERS = (1, 2, 3)
 BUCKETS = 1 << 16
@@ -42,9 +42,7 @@ def ngram_buckets(data: np.ndarray, at: np.ndarray, buckets: int = BUCKETS) -> t
 
     Letters are lower-cased, all else is one blank; runs of blanks count as one.
     """
-    codes = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32)
-    leads = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
-    first = leads[at]
+    codes, first = code_points(data, at)
     code = _classes()[codes]
     edge = np.zeros(len(code) + 1, bool)
     edge[first] = True
@@ -74,7 +72,10 @@ class Model:
     logs: np.ndarray  # buckets x langs, float32
 
     def score(self, column: pa.Array) -> tuple[list[str], np.ndarray]:
-        """The likeliest language and its share of the evidence, for each text."""
+        """The likeliest language and its share of the evidence, for each text.
+
+        N-grams of a text are not independent: its log-likelihoods count as the mean of its n-grams times EVIDENCE at most, so the score is a tempered posterior.
+        """
         names, scores = [], []
         columns = [np.ascontiguousarray(self.logs[:, k], np.float64) for k in range(len(self.langs))]
         for _, _, data, at in text_slices(column, 1 << 18):
@@ -101,6 +102,8 @@ def fit(docs: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str =
 
     Executors count n-grams in ``buckets`` slots for each language; the driver gets at most
     buckets x languages sums, whatever the size of the corpus.
+
+    Rows with a null key, text or language are not learned from; repeated rows count as often as they stand there; an empty table gives a model of no language.
     """
     rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).cast("string").alias("l")).filter("k is not null and l is not null and t is not null")
     sizes = {r.l: r.n for r in rows.groupBy("l").agg(F.count("*").alias("n")).collect()}

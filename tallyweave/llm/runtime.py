@@ -97,3 +97,14 @@ def text_slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int
         end = min(max(end, first + 1), rows)
         yield first, end, data[at[first] : at[end]], at[first : end + 1] - at[first]
         first = end
+
+
+def code_points(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The code points of a run of texts, and the first of each text among them (one more entry than texts). Bytes that are no UTF-8 become U+FFFD."""
+    try:
+        codes = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32)
+        return codes, np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[at]
+    except UnicodeDecodeError:
+        raw = data.tobytes()
+        texts = [raw[a:b].decode(errors="replace").encode("utf-32-le") for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+        return np.frombuffer(b"".join(texts), np.uint32), np.cumsum([0, *(len(x) // 4 for x in texts)])

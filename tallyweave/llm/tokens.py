@@ -93,7 +93,7 @@ def count_tokens(column: pa.Array, path: str) -> np.ndarray:
             text = raw[at[row - first] : at[row - first + 1]]
             for part in cut_text(text) if cuts and len(text) > PIECE_BYTES else [text]:
                 owner.append(row)
-                parts.append(part.decode())
+                parts.append(part.decode(errors="replace"))
         if parts:
             np.add.at(total, owner, count(parts))
     return total
@@ -107,7 +107,7 @@ def token_counts(docs: DataFrame, tokenizer: str, *, key: str = "doc_id", text:
     batches of about a megabyte, and longer ones in parts cut where no token can lie, so memory does
     not follow the row count of an Arrow batch. No shuffle: the counts are a map over the scan.
 
-    Null and empty texts have 0 bytes and 0 tokens. Null keys, repeated rows and ties are kept row
+    Null and empty texts have 0 bytes and 0 tokens. Bytes that are no UTF-8 are counted as U+FFFD. Null keys, repeated rows and ties are kept row
     by row; other columns are ignored whatever their names; an empty table gives an empty result.
     """
     kind = docs.schema[key].dataType

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -12,21 +12,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .langid import _classes
-from .runtime import by_hash, discard, materialize, text_slices
+from .runtime import by_hash, code_points, discard, materialize, text_slices
 from .words import mix
 
-#: Characters in the n-grams of a model, each order backing off to the one before. The long ones tell words whose parts are all common.
-ORDERS = (1, 2, 3, 4, 6, 8, 10)
-#: Weight of the shared counts in a context, as a number of occurrences.
+#: Characters in the longest n-grams; each order backs off to the one before.
+ORDER = 6
+#: Weight of the shared probability in a context, as a number of occurrences.
 SHARED = 8.0
 DISCOUNT = 0.75
-#: An n-gram needs so many counts to be kept; rarer ones are left to the backoff.
-LEAST_COUNT = 1
+#: Share of its words that a toxic text draws from the model of the toxic class; the others are ordinary.
+TOXIC_SHARE = 0.01
+#: Words without evidence that every text counts as more, when its log-likelihoods are normalised by its length.
+MORE_WORDS = 30
 #: About so many labelled documents are used at most, chosen by the hash of their key. Up to this bound all are.
 MOST_LABELS = 200_000
-FEATURES = 6
-#: A whole word needs so many occurrences in both classes to be compared as such.
-LEAST_WORD = 8
 #: The driver fetches about so many n-grams at once.
 FETCHED = 1 << 19
 #: Words whose odds a worker remembers between texts; with more it starts over.
@@ -35,8 +34,7 @@ KNOWN_WORDS = 1 << 20
 
 def _word_codes(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Lower-case letters of a run of texts, the start and end of each word (run of letters) among the characters, and its row."""
-    codes = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32)
-    first = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[at]
+    codes, first = code_points(data, at)
     code = _classes()[codes]
     inside = np.concatenate([[False], code != 0, [False]])
     edge = np.zeros(len(code) + 1, bool)
@@ -58,7 +56,7 @@ def _hash_words(code: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
 
 
 def _grams(code: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Characters of words with a start and an end mark: for each place the word, the distance from its start and the character, and for each of ORDERS the
+    """Characters of words with a start and an end mark: for each place the word, the distance from its start and the character, and for each order the
     64-bit code of the n-gram that ends there; the code less the character is that of its context (the n-gram without its last character).
 
     An n-gram that would reach over the start is cut at the mark.
@@ -71,14 +69,13 @@ def _grams(code: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.n
     body = (inner >= 0) & (inner < (ends - starts)[word])
     chars[body] = code[(starts[word] + inner)[body]]
     chars += np.uint64(1)
-    grams = np.zeros((len(ORDERS), len(chars)), np.uint64)
+    grams = np.zeros((ORDER, len(chars)), np.uint64)
     total, factor = np.zeros(len(chars), np.uint64), 1
-    for k in range(ORDERS[-1]):
+    for k in range(ORDER):
         ok = np.flatnonzero(inner + 1 >= k)  # places with k characters before them in the word
         total[ok] += chars[ok - k] * np.uint64(factor)
         factor = factor * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF
-        if k + 1 in ORDERS:
-            grams[ORDERS.index(k + 1)] = total
+        grams[k] = total
     return word, inner, chars, grams
 
 
@@ -111,32 +108,36 @@ def word_counts(labelled: DataFrame) -> DataFrame:
 
 
 def gram_counts(words: DataFrame) -> DataFrame:
-    """(k, gram, last, c0, c1) for words with counts: counts of n-grams of order ORDERS[k] (of whole words for the last k), by their 64-bit code, with their last character.
+    """(k, gram, last, c0, c1, c) for words with counts: n-grams of k + 1 characters by their 64-bit code, with their last character and their Kneser-Ney counts in each class and in both.
 
-    The highest order has the words' counts; the others, as in Kneser-Ney, count the different words that an n-gram occurs in.
+    N-grams of the highest order, and those that begin a word, have the words' counts. The others have continuation counts: before how many
+    different characters they stand, in a class or in any.
     """
 
-    def rows(k: int, gram: np.ndarray, last: np.ndarray, n: Iterable[np.ndarray]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(gram), k, np.int8)), pa.array(gram.view(np.int64)), pa.array(last.astype(np.int32)), *map(pa.array, n)], ["k", "gram", "last", "c0", "c1"])
-
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in (1, 2)])
             for first, _, data, at in text_slices(batch.column(0)):
-                codes = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32)
-                edges = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[at]
-                whole = _hash_words(codes, edges[:-1], edges[1:])
-                yield rows(len(ORDERS), whole, np.zeros(len(whole)), n[:, first : first + len(whole)])
+                codes, edges = code_points(data, at)
                 word, inner, chars, grams = _grams(codes, edges[:-1], edges[1:])
                 use = np.flatnonzero(inner >= 0)
                 mine = n[:, first + word[use]]
-                for k in range(len(ORDERS)):
-                    weight = mine if k == len(ORDERS) - 1 else np.minimum(mine, 1)
-                    kinds, where, kind = np.unique(grams[k][use], return_index=True, return_inverse=True)
-                    yield rows(k, kinds, chars[use][where], [np.bincount(kind, weights=w, minlength=len(kinds)).astype(np.int64) for w in weight])
-
-    parts = words.mapInArrow(count, "k byte, gram long, last int, c0 long, c1 long")
-    return parts.groupBy("k", "gram").agg(F.min("last").alias("last"), F.sum("c0").alias("c0"), F.sum("c1").alias("c1")).filter(f"c0 + c1 >= CASE WHEN k < {len(ORDERS)} THEN {LEAST_COUNT} ELSE {LEAST_WORD} END")
+                for k in range(ORDER):
+                    # The character before the n-gram: none for the highest order and at the start of a word.
+                    before = np.where((inner[use] > k - 1) & (k < ORDER - 1), chars[use - np.minimum(k + 1, inner[use] + 1)], np.uint64(0))
+                    order = np.lexsort((before, grams[k][use]))
+                    own, left = grams[k][use][order], before[order]
+                    new = np.flatnonzero(np.concatenate([[True], (own[1:] != own[:-1]) | (left[1:] != left[:-1])])) if len(own) else np.zeros(0, np.int64)
+                    sums = [np.add.reduceat(m[order], new) if len(new) else m[:0] for m in mine]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(new), k, np.int8)), pa.array(own[new].view(np.int64)), pa.array(left[new].astype(np.int32)), pa.array(chars[use][order][new].astype(np.int32)), *map(pa.array, sums)],
+                        ["k", "gram", "before", "last", "c0", "c1"],
+                    )
+
+    parts = words.mapInArrow(count, "k byte, gram long, before int, last int, c0 long, c1 long")
+    parts = parts.groupBy("k", "gram", "before").agg(F.min("last").alias("last"), F.sum("c0").alias("c0"), F.sum("c1").alias("c1"))
+    counted = lambda n, name: F.sum(F.when(F.col("before") == 0, n).otherwise((n > 0).cast("long"))).alias(name)
+    return parts.groupBy("k", "gram").agg(F.min("last").alias("last"), counted(F.col("c0"), "c0"), counted(F.col("c1"), "c1"), counted(F.col("c0") + F.col("c1"), "c"))
 
 
 class Table:
@@ -168,17 +169,17 @@ class Table:
 
 @dataclass
 class Model:
-    """For each order: discounted probabilities of n-grams and backoff weights of contexts, for each class and for both, in tables as large as their number; then the logistic weights.
+    """For each order the parts of the probabilities in tables as large as the number of n-grams and contexts; then the logistic weights.
 
-    A class backs off to its shorter n-gram, scaled as the shared model scales it; so what is rare has one probability in both classes.
+    In a context h, P(c) of both classes together is interpolated Kneser-Ney: (count - DISCOUNT) / total, and what the discounts leave times P of the next lower order. In one class
+    SHARED occurrences more are spread by P of both together, so what is rare or unseen has one probability in both classes. Each P sums to 1.
     """
 
     grams: list[Table]
-    direct: list[np.ndarray]  # for each order n-grams x 3, float32, 0 for an unseen one
+    direct: list[np.ndarray]  # for each order n-grams x 3 (class 0, class 1, both), float32, 0 for an unseen one
     contexts: list[Table]
-    backoff: list[np.ndarray]  # for each order contexts x 3, float32, 1 for an unseen one
-    words: Table
-    whole: np.ndarray  # float32: log-odds of whole words, 0 for rare ones
+    backoff: list[np.ndarray]  # for each order contexts x 5: weight of the lower order (3) and of both classes (2), float32
+    base: float  # probability of any character below the lowest order
     weights: np.ndarray
     centre: np.ndarray
     scale: np.ndarray
@@ -189,26 +190,30 @@ class Model:
         return {k: v for k, v in vars(self).items() if k not in ("shared", "known")} | packed
 
     def __setstate__(self, state: dict) -> None:
-        for k in ("direct", "backoff"):
+        for k, width in (("direct", 3), ("backoff", 5)):
             packed = state.pop(k)
-            setattr(self, k, [np.frombuffer(zlib.decompress(packed.pop(0)), np.float32).reshape(-1, 3) for _ in ORDERS])
+            setattr(self, k, [np.frombuffer(zlib.decompress(packed.pop(0)), np.float32).reshape(-1, width) for _ in range(ORDER)])
         vars(self).update(state)
 
+    def probabilities(self, gram: np.ndarray, chars: np.ndarray) -> np.ndarray:
+        """P of each character behind its context, in the classes and in both (3 x places); ``gram`` has the codes of all orders."""
+        p = np.full((3, gram.shape[1]), self.base)
+        for k in range(ORDER):
+            direct = self.direct[k][self.grams[k].find(gram[k])]
+            backoff = self.backoff[k][self.contexts[k].find(gram[k] - chars)]
+            both = direct[:, 2] + backoff[:, 2] * p[2]
+            for y in (0, 1):
+                p[y] = direct[:, y] + backoff[:, y] * p[y] + backoff[:, 3 + y] * both
+            p[2] = both
+        return p
+
     def word_odds(self, code: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """log P(word | toxic) - log P(word | ordinary) for each word."""
+        """log P(word | toxic text) - log P(word | ordinary text): words of a toxic text are of the toxic class in TOXIC_SHARE of all cases, else ordinary."""
         word, inner, chars, grams = _grams(code, starts, ends)
         use = np.flatnonzero(inner >= 0)
-        p = np.full((3, len(use)), 1e-4)
-        for k in range(len(ORDERS)):
-            gram = grams[k][use]
-            direct = self.direct[k][self.grams[k].find(gram)]
-            backoff = self.backoff[k][self.contexts[k].find(gram - chars[use] if k else np.zeros(1, np.uint64))]
-            shared = direct[:, 2] + backoff[:, 2] * p[2]
-            for y in (0, 1):
-                p[y] = direct[:, y] + backoff[:, y] * p[y] * (shared / p[2])
-            p[2] = shared
-        logs = np.log(p)
-        return np.bincount(word[use], weights=logs[1] - logs[0], minlength=len(starts))
+        logs = np.log(self.probabilities(grams[:, use], chars[use]))
+        odds = np.bincount(word[use], weights=logs[1] - logs[0], minlength=len(starts))
+        return np.log1p(TOXIC_SHARE * np.expm1(np.minimum(odds, 100)))
 
     def remembered_odds(self, kinds: np.ndarray, code: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """:meth:`word_odds` of different words, given by their sorted hashes too; up to KNOWN_WORDS are remembered."""
@@ -225,29 +230,16 @@ class Model:
             self.known = np.insert(keys, at[new], kinds[new]), np.insert(odds, at[new], out[new])
         return out
 
-    def features(self, column: pa.Array) -> np.ndarray:
-        """For each text: mean of the words' log-odds by character, the largest, the mean of the three largest, the largest of whole words, the share of words over 3, and log size."""
-        out = np.zeros((len(column), FEATURES))
+    def evidence(self, column: pa.Array) -> np.ndarray:
+        """For each text the difference of its log-likelihoods under the two models, normalised by its length in words."""
+        out = np.zeros(len(column))
         for first, end, data, at in text_slices(column, 1 << 19):
             code, starts, ends, row = _word_codes(data, at)
             if not len(starts):
                 continue
             kinds, where, kind = np.unique(_hash_words(code, starts, ends), return_index=True, return_inverse=True)
             odds = self.remembered_odds(kinds, code, starts[where], ends[where])[kind]
-            whole = self.whole[self.words.find(kinds)][kind].astype(np.float64)
-            bounds = np.searchsorted(row, np.arange(end - first + 1))
-            full = np.flatnonzero(np.diff(bounds) > 0)
-            lo, n = bounds[:-1][full], np.diff(bounds)[full]
-            add = lambda x: np.add.reduceat(x, lo)
-            top = np.zeros((len(full), 3))
-            left = odds.copy()
-            for t in range(3):
-                best = np.maximum.reduceat(left, lo)
-                top[:, t] = np.where(np.isfinite(best), best, 0)
-                at_best = np.flatnonzero(left == np.repeat(best, n))
-                _, one = np.unique(row[at_best], return_index=True)
-                left[at_best[one]] = -np.inf
-            out[first + full] = np.stack([add(odds) / add((ends - starts).astype(float)), np.clip(top[:, 0], -5, 12), np.clip(top.mean(axis=1), -5, 12), np.maximum.reduceat(whole, lo), add((odds > 3).astype(float)) / n, np.log(n)], axis=1)
+            out[first:end] = np.bincount(row, weights=odds, minlength=end - first) / (np.bincount(row, minlength=end - first) + MORE_WORDS)
         return out
 
 
@@ -274,79 +266,79 @@ def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str =
     """Fit on labelled documents outside the fold ``held_out``: counts on all folds but ``calibrate``, logistic weights on that one.
 
     Counts cover all labelled documents (up to ``most``). Executors count words by text and n-grams by word; the driver gets
-    the sums of all different n-grams, part by part, and six numbers for each document of the calibration fold.
+    the sums of all different n-grams, part by part, and one number for each document of the calibration fold, on which a slope and a bias are fitted.
+
+    Null keys and labels are ignored, null texts are empty; of several labels of one key the greatest counts; repeated documents count once for their words' places, and each in the calibration.
     """
     spark = docs.sparkSession
     said = labels.select(F.col(key).alias("k"), F.col(label).cast("int").alias("y")).filter("k is not null and y is not null")
     said = said.filter(fold("k") != held_out)
     said = by_hash(said, "k", most, said.count()).groupBy("k").agg(F.max("y").alias("y"))
-    known = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t")).join(F.broadcast(said), "k")  # about `most` labels at most
+    known = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t")).join(said, "k")
     counts = materialize(gram_counts(word_counts(known.filter(fold("k") != calibrate).select("t", "y"))), "grams")
 
     many = {r.k: r.n for r in counts.groupBy("k").agg(F.count("*").alias("n")).collect()}
 
-    def of_order(k: int) -> tuple[np.ndarray, ...]:
-        """Scrambled codes, sorted, with their contexts, c0 and c1; fetched in parts, so that the driver never holds all columns twice."""
+    def of_order(k: int) -> list[np.ndarray]:
+        """Scrambled codes, sorted, with their contexts and counts; fetched in parts, so that the driver never holds all columns twice."""
         parts, n = [], -(-many.get(k, 1) // FETCHED)
         for part in range(n):
-            rows = counts.filter((F.col("k") == k) & (F.pmod("gram", F.lit(n)) == part)).select("gram", "last", "c0", "c1").toArrow()
-            gram, last, c0, c1 = (x.to_numpy() for x in rows.columns)
+            rows = counts.filter((F.col("k") == k) & (F.pmod("gram", F.lit(n)) == part)).select("gram", "last", "c0", "c1", "c").toArrow()
+            gram, last, *found = (x.to_numpy() for x in rows.columns)
             code = gram.view(np.uint64)
-            context = mix(code - last.astype(np.uint64)) if k else np.zeros(len(code), np.uint64)
-            parts.append((mix(code), context, *(c.astype(np.min_scalar_type(int(c.max(initial=1)))) for c in (c0, c1))))
-            del rows, gram, last, c0, c1, code, context
+            parts.append((mix(code), mix(code - last.astype(np.uint64)), *(c.astype(np.min_scalar_type(int(c.max(initial=1)))) for c in found)))
+            del rows, gram, last, found, code
         columns = [np.concatenate(x) for x in zip(*parts, strict=True)]
         del parts
         order = np.argsort(columns[0])
         for i, c in enumerate(columns):
             columns[i] = c[order]
-        return tuple(columns)
+        return columns
 
     grams, direct, contexts, backoff = [], [], [], []
-    for i in reversed(range(len(ORDERS))):  # the largest while there is room
-        key, before, c0, c1 = of_order(i)
+    for i in reversed(range(ORDER)):  # the largest while there is room
+        key, before, *found = of_order(i)
         kinds, context = np.unique(before, return_inverse=True)
         del before
-        p, rest = np.zeros((len(key) + 1, 3), np.float32), np.ones((len(kinds) + 1, 3), np.float32)
-        for y, c in enumerate((c0, c1, c0.astype(np.int64) + c1)):
+        p, rest = np.zeros((len(key) + 1, 3), np.float32), np.zeros((len(kinds) + 1, 5), np.float32)
+        for y, c in enumerate(found):
             use = np.flatnonzero(c > 0)
             more = SHARED if y < 2 else 0.0
             total = np.bincount(context[use], weights=c[use], minlength=len(kinds)) + more
             different = np.bincount(context[use], minlength=len(kinds))
-            seen = np.flatnonzero(different > 0)
             p[use, y] = np.maximum(c[use] - DISCOUNT, 0) / total[context[use]]
-            rest[seen, y] = (DISCOUNT * different[seen] + more) / total[seen]
+            rest[:-1, y] = DISCOUNT * different / total
+            if y < 2:
+                rest[:-1, 3 + y] = more / total
+        rest[-1] = 0, 0, 1, 1, 1  # a context never seen: what both classes have there is what they have one order lower
         for made, one in ((grams, Table(key)), (direct, p), (contexts, Table(kinds)), (backoff, rest)):
             made.insert(0, one)
-        del key, c0, c1, c, kinds, context, use, total, different, seen, p, rest, one
-    key, _, *n = of_order(len(ORDERS))
-    c0, c1 = (x.astype(np.int64) for x in n)
+        del key, found, c, kinds, context, use, total, different, p, rest, one
     discard(counts)
-    odds = np.log((c1 + 1) / (c1.sum() + 1)) - np.log((c0 + 1) / (c0.sum() + 1))
-    model = Model(grams, direct, contexts, backoff, Table(key), np.append(odds, 0).astype(np.float32), np.zeros(FEATURES + 1), np.zeros(FEATURES), np.ones(FEATURES))
+    model = Model(grams, direct, contexts, backoff, 1 / (many.get(0, 0) + 1), np.zeros(2), np.zeros(1), np.ones(1))
     model.shared = spark.sparkContext.broadcast(model)  # the tables; the weights below go with each task
-    got = known.filter(fold("k") == calibrate).select("y", _features(model.shared)(F.col("t")).alias("x")).toArrow()
+    got = known.filter(fold("k") == calibrate).select("y", _evidence(model.shared)(F.col("t")).alias("x")).toArrow()
     y = got.column("y").to_numpy().astype(np.float64)
     if len(y):
-        x = np.array(got.column("x").to_pylist(), np.float64)
+        x = got.column("x").to_numpy()[:, None]
         model.centre, model.scale = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-6)
         model.weights = _logistic((x - model.centre) / model.scale, y)
     return model
 
 
-def _features(shared):
-    @F.arrow_udf("array<double>")
-    def features(texts: pa.Array) -> pa.Array:
-        return pa.array(list(shared.value.features(texts)), pa.list_(pa.float64()))
+def _evidence(shared):
+    @F.arrow_udf("double")
+    def evidence(texts: pa.Array) -> pa.Array:
+        return pa.array(shared.value.evidence(texts))
 
-    return features
+    return evidence
 
 
 def score(docs: DataFrame, model: Model, *, key: str = "doc_id", text: str = "text", threshold: float = 0.3) -> DataFrame:
     """(key, score, predicted) for each row: the chance of the toxic label, and whether it is at least ``threshold``.
 
-    Each word's log-likelihoods under the two class models are compared; the text's evidence is their difference
-    normalised by length, over the whole text and over its strongest words. The model (as large as its number of different n-grams) is broadcast; no shuffle.
+    The text's log-likelihoods under the models of toxic and ordinary texts are compared: their difference, normalised by length, is the
+    one feature of the score, with a slope and a bias. The model (as large as its number of different n-grams) is broadcast; no shuffle.
 
     Null and empty texts get the score of a text without words. Null keys and repeated rows are kept row by row; other
     columns are ignored; an empty table gives an empty result. With no labels every score is 0.5.
@@ -355,8 +347,8 @@ def score(docs: DataFrame, model: Model, *, key: str = "doc_id", text: str = "te
 
     @F.arrow_udf("double")
     def judge(texts: pa.Array) -> pa.Array:
-        x = (shared.value.features(texts) - centre) / scale
-        return pa.array(1 / (1 + np.exp(-np.clip(x @ weights[:-1] + weights[-1], -50, 50))))
+        x = (shared.value.evidence(texts) - centre[0]) / scale[0]
+        return pa.array(1 / (1 + np.exp(-np.clip(x * weights[0] + weights[1], -50, 50))))
 
     out = docs.select(F.col(key).alias("k"), judge(F.col(text)).alias("score"))
     return out.select(F.col("k").alias(key), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

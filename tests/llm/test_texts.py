@@ -2,7 +2,7 @@
 
 import random
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -61,6 +61,49 @@ def test_cuts_are_safe(monkeypatch, documents):
     assert len(tokens.cut_text(("word " * 100).encode(), 64)) > 5 and tokens.cut_text(b"x" * 500, 64) == [b"x" * 500]
 
 
+def test_bytes_that_are_no_utf8(spark):
+    """Such texts are read as with replacement characters by token counts, language ID and toxicity."""
+    raw = [b"ok text of words", b"bad \xff\xfe bytes \xc3", b"\x80", b"fine \xc3\xa9 end", None]
+    docs = spark.createDataFrame([(k, bytearray(r) if r is not None else None) for k, r in enumerate(raw)], "doc_id long, b binary").selectExpr("doc_id", "cast(b as string) as text", "'en' as lang")
+    texts = ["" if r is None else r.decode(errors="replace") for r in raw]
+    got = {r.doc_id: (r.n_bytes, r.n_tokens) for r in tokens.token_counts(docs, MODEL).collect()}
+    assert got == {k: (len(r or b""), n) for (k, r), n in zip(enumerate(raw), library_counts("piece_bpe_32k.model", texts), strict=True)}
+    model = langid.fit(docs)
+    assert [r.lang_pred for r in langid.predict(docs, model).orderBy("doc_id").collect()] == ["en", "en", "und", "en", "und"]
+    known = toxicity.fit(docs, spark.createDataFrame([(k, k % 2) for k in range(5)], "doc_id long, toxic int"))
+    assert toxicity.score(docs, known).count() == 5
+
+
+def plain_language_scores(text, langs, logs, buckets):
+    """Log-likelihoods by plain Python over the hashed n-grams of one text, tempered as documented."""
+    kept = re.sub(r"\s+", " ", "".join(c.lower() if c.isalpha() and len(c.lower()) == 1 else c if c.isalpha() else " " for c in text))
+    total, n = np.zeros(len(langs)), 0
+    for k in (1, 2, 3):
+        for i in range(len(kept) - k + 1):
+            gram = kept[i : i + k]
+            if not gram.strip():
+                continue
+            h = 0
+            for c in gram:
+                h = (h * 0x01000193 + (0 if c == " " else ord(c)) + 1) & 0xFFFFFFFF
+            h = (h * 0x9E3779B1 + k - 1) & 0xFFFFFFFF
+            total += logs[(((h ^ (h >> 15)) * 0x85EBCA6B & 0xFFFFFFFF) >> 8) % buckets].astype(np.float64)
+            n += 1
+    total *= min(n, langid.EVIDENCE) / max(n, 1)
+    odds = np.exp(total - total.max())
+    return langs[int(total.argmax())], float(odds.max() / odds.sum())
+
+
+def test_language_scores_are_plain_naive_bayes(documents):
+    model = langid.fit(documents.filter(~langid.held_out()))
+    texts = [r.text for r in documents.select("text").limit(60).collect()]
+    names, scores = model.score(pa.array(texts))
+    for text, name, score in zip(texts, names, scores.tolist(), strict=True):
+        if any(c.isalpha() for c in text or ""):
+            want = plain_language_scores(text, model.langs, model.logs, len(model.logs))
+            assert name == want[0] and abs(score - want[1]) < 1e-6
+
+
 def test_token_counts_of_an_empty_table(empty):
     assert tokens.token_counts(empty, MODEL).count() == 0
 
@@ -184,36 +227,97 @@ def test_predecessors_are_counted_without_a_bound(spark):
     assert got["often"] == (3001, 701) and got["once"] == (50, 0)
 
 
+class PlainKneserNey:
+    """Class-conditional interpolated Kneser-Ney over strings, with the shared backoff, from (word, n0, n1) rows."""
+
+    def __init__(self, counts, order=toxicity.ORDER, shared=toxicity.SHARED, discount=toxicity.DISCOUNT):
+        self.order, self.shared, self.discount = order, shared, discount
+        grams = [[defaultdict(Counter) for _ in range(3)] for _ in range(order)]
+        for word, n0, n1 in counts:
+            marked = f"^{word}$"
+            for end in range(2, len(marked) + 1):
+                for k in range(1, order + 1):
+                    start = max(0, end - k)
+                    raw = k == order or start == 0
+                    for y, n in ((0, n0), (1, n1), (2, n0 + n1)):
+                        if n:
+                            grams[k - 1][y][marked[start:end]]["" if raw else marked[start - 1]] += n
+        self.counts = [[{g: sum(c.values()) if "" in c else len(c) for g, c in by.items()} for by in each] for each in grams]
+        self.chars = sorted({g for each in self.counts[0] for g in each})
+
+    def p(self, y, char, context, k):
+        if k == 0:
+            return 1 / (len(self.chars) + 1)
+        if context is not None:
+            h = context[max(0, len(context) - k + 1) :]
+        own = {g[-1]: n for g, n in self.counts[k - 1][y].items() if g[:-1] == h}
+        total, more = sum(own.values()), self.shared if y < 2 else 0
+        if not total + more:
+            return self.p(y, char, context, k - 1)
+        out = max(own.get(char, 0) - self.discount, 0) + self.discount * len(own) * self.p(y, char, context, k - 1)
+        return (out + (more * self.p(2, char, context, k) if more else 0)) / (total + more)
+
+    def odds(self, word):
+        marked, total = f"^{word}$", 0.0
+        for end in range(1, len(marked)):
+            total += np.log(self.p(1, marked[end], marked[:end], self.order) / self.p(0, marked[end], marked[:end], self.order))
+        return np.log1p(toxicity.TOXIC_SHARE * np.expm1(total))
+
+
+SMALL = [("common", 50, 45), ("commons", 3, 0), ("vile", 0, 60), ("viler", 0, 2), ("evil", 1, 9), ("rareone", 1, 0), ("raretwo", 0, 1), ("on", 7, 7), ("a", 2, 1), ("éà", 1, 1)]
+
+
+def model_of(spark, counts):
+    """The tables of a model for words with given counts."""
+    rows = spark.createDataFrame(counts, "w string, n0 long, n1 long")
+    real = toxicity.word_counts
+    try:
+        toxicity.word_counts = lambda labelled: rows
+        none = spark.createDataFrame([], "doc_id long, text string")
+        return toxicity.fit(none, spark.createDataFrame([], "doc_id long, toxic int"))
+    finally:
+        toxicity.word_counts = real
+
+
+def test_model_is_plain_kneser_ney(spark):
+    """Odds of known and unknown words agree with plain Python; P of all characters behind a context sums to 1."""
+    model, plain = model_of(spark, SMALL), PlainKneserNey(SMALL)
+    words = [w for w, *_ in SMALL] + ["villain", "commonly", "zzz", "rarevile", "onon", "éa"]
+    codes = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
+    ends = np.cumsum([len(w) for w in words])
+    got = model.word_odds(codes, ends - [len(w) for w in words], ends)
+    assert np.abs(got - [plain.odds(w) for w in words]).max() < 1e-6  # tables are float32
+    for context in ("^", "^co", "^vil", "^comm", "^zz", "^rareon"):
+        for y in (0, 1, 2):
+            total = sum(plain.p(y, c, context, plain.order) for c in plain.chars) + plain.p(y, "?", context, plain.order)
+            assert abs(total - 1) < 1e-12
+
+
 def test_ngrams_are_kept_apart(spark):
-    """More different n-grams than a table of 2^18 slots holds, each with its own counts and found in its place."""
+    """Many n-grams, each with its own counts and found in its place; counts below the highest order are of different characters before."""
     rng = random.Random(3)
     words = sorted({"".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=8)) for _ in range(60_000)})
     counts = [(w, k % 3, k % 2) for k, w in enumerate(words) if k % 3 or k % 2]
     rows = toxicity.gram_counts(spark.createDataFrame(counts, "w string, n0 long, n1 long")).toPandas()
-    for k, order in enumerate(toxicity.ORDERS):
-        want = Counter(), Counter()
-        for w, *n in counts:
-            marked = f"^{w}$"
-            for g in (marked[max(0, e - order) : e] for e in range(2, len(marked) + 1)):
-                for y in (0, 1):
-                    want[y][g] += n[y] if order == toxicity.ORDERS[-1] else min(n[y], 1)
+    plain = PlainKneserNey(counts)
+    for k in range(toxicity.ORDER):
         mine = rows[rows.k == k]
-        kinds = sorted((want[0][g], want[1][g]) for g in want[0])
-        assert sorted(zip(mine.c0, mine.c1, strict=True)) == kinds
-    assert len(mine) > 1 << 18
+        want = sorted((plain.counts[k][0].get(g, 0), plain.counts[k][1].get(g, 0), n) for g, n in plain.counts[k][2].items())
+        assert sorted(zip(mine.c0, mine.c1, mine.c, strict=True)) == want
     codes = mine.gram.to_numpy().view(np.uint64)
+    assert len(codes) > 1 << 18
     codes = codes[np.argsort(mix(codes))]
     table = toxicity.Table(mix(codes))
     assert (table.find(codes) == np.arange(len(codes))).all() and (table.find(codes + np.uint64(1))[~np.isin(codes + np.uint64(1), codes)] == len(codes)).all()
     assert toxicity.Table(codes[:0]).find(codes[:9]).tolist() == [0] * 9
 
 
-def test_rare_words_have_one_probability_in_both_classes(spark):
-    words = spark.createDataFrame([("common", 50, 50), ("vile", 0, 60), ("rareone", 1, 0), ("raretwo", 0, 1)], "w string, n0 long, n1 long")
-    rows = toxicity.gram_counts(words).collect()
-    assert {r.k for r in rows} == set(range(len(toxicity.ORDERS) + 1))
-    top = [r for r in rows if r.k == len(toxicity.ORDERS)]
-    assert sorted((r.c0, r.c1) for r in top) == [(0, 60), (50, 50)]
+def test_rare_words_have_almost_one_probability_in_both_classes(spark):
+    model = model_of(spark, [("common", 50, 50), ("vile", 0, 60), ("rareone", 1, 0), ("raretwo", 0, 1)])
+    words = ["vile", "rareone", "raretwo", "unknown"]
+    ends = np.cumsum([len(w) for w in words])
+    odds = model.word_odds(np.frombuffer("".join(words).encode("utf-32-le"), np.uint32), ends - [len(w) for w in words], ends)
+    assert odds[0] > 10 * np.abs(odds[1:]).max()
 
 
 def test_toxicity_of_odd_texts(spark, odd, empty):
