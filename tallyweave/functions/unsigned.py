@@ -41,6 +41,23 @@ def compare(column: Column, op: str, constant: int, unsigned: bool) -> Column:
     return column < F.lit(constant) if op == "<" else column > F.lit(constant)
 
 
+def wrapping_product(factors: list[Column]) -> Column:
+    """Product mod 2^64 as decimal(20, 0): the first factor of any size, the others counts below 10^18."""
+    out = F.pmod(factors[0].cast("decimal(38,0)"), _modulus())
+    for factor in factors[1:]:
+        out = F.pmod((out.cast("decimal(20,0)") * factor.cast("decimal(18,0)")).cast("decimal(38,0)"), _modulus())
+    return out.cast("decimal(20,0)")
+
+
+def wrapping_sum_of_decimals(column: Column) -> Column:
+    """Sum mod 2^64 of decimals below 2^64, as decimal(20, 0); null without rows. Exact below 5 * 10^18 rows."""
+    return F.pmod(F.sum(column.cast("decimal(28,0)")), _modulus()).cast("decimal(20,0)")
+
+
+def _modulus() -> Column:
+    return F.lit(str(2**64)).cast("decimal(38,0)")
+
+
 def wrapping_sum(column: Column) -> Column:
     """Sum mod 2^64 as decimal(20, 0); null without rows. Three long sums, so it stays a plain partial aggregation."""
     low = F.sum(column.bitwiseAND(F.lit(_MASK)))

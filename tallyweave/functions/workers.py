@@ -23,9 +23,14 @@ def reachable(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or in local mode, where it is unset, a temporary one."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or in local mode, where it is unset, a temporary one.
+
+    On a cluster a folder of one machine would do harm without a word: the others would not see its files. So there the setting must be made.
+    """
     place = spark.conf.get("spark.checkpoint.dir", None)
     if not place:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         place = getattr(spark.sparkContext, "_tallyweave_dir", None)
         if place is None:
             place = spark.sparkContext._tallyweave_dir = "file://" + tempfile.mkdtemp(prefix="tallyweave-")

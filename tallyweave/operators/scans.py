@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 def scan(relation: DataFrame, binding: int, columns: Sequence[int] | None = None) -> DataFrame:
     """Columns of a relation (all, or those of the given numbers) under the names of a binding."""
+    narrow = columns is not None and relation.columns == [f"c{c}" for c in columns]
     chosen = range(len(relation.columns)) if columns is None else columns
-    return relation.select(*(F.col(relation.columns[c]).alias(f"b{binding}_c{c}") for c in chosen))
+    return relation.select(*(F.col(f"c{c}" if narrow else relation.columns[c]).alias(f"b{binding}_c{c}") for c in chosen))
 
 
 def project(df: DataFrame, places: Sequence[int]) -> DataFrame:

@@ -9,7 +9,7 @@ from operator import and_, mul
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyweave.functions.unsigned import wrapping_sum
+from tallyweave.functions.unsigned import wrapping_product, wrapping_sum, wrapping_sum_of_decimals
 from tallyweave.operators.filters import filter_constants
 from tallyweave.operators.scans import scan
 from tallyweave.sources.catalog import Catalog
@@ -31,10 +31,14 @@ def weight(b: int) -> str:
     return f"b{b}_rows"
 
 
-def _value(query: Query, column: ColumnRef, eager: frozenset[int]) -> Column:
-    """What a joined row adds to the sum of a column: its value (or the sum of its group) for each row that the other groups stand for."""
+def _total(query: Query, column: ColumnRef, eager: frozenset[int], wraps: bool) -> Column:
+    """Sum of a column over joined rows: its value (or the sum of its group) for each row that the other groups stand for."""
     factors = [F.col(weight(b)) for b in sorted(eager) if b != column.binding or column in join_columns(query, b)]
-    return reduce(mul, factors, F.col(column.name))
+    if not wraps:
+        return F.sum(reduce(mul, factors, F.col(column.name)))
+    if not eager:
+        return wrapping_sum(F.col(column.name))
+    return wrapping_sum_of_decimals(wrapping_product([F.col(column.name), *factors]))
 
 
 class PlanError(ValueError):
@@ -70,8 +74,8 @@ class Planner:
         """Bindings to sum up before the joins: those whose join columns have few combinations for their rows.
 
         Their rows then meet as one row for each combination, with a count and partial sums. So a fact table is shuffled
-        as partial sums, and many-to-many joins don't multiply rows. Signed mode only: a product of counts and values
-        is part of the sum, so it passes 2^63 only if the sum does.
+        as partial sums, and many-to-many joins don't multiply rows. Signed mode only. Where the sum may pass 2^63, partial sums and
+        products are mod 2^64 too.
         """
         if self.eager_rows is None or self.order != "cost" or len(query.relations) == 1 or any(self.catalog[r].unsigned for r in query.relations):
             return frozenset()
@@ -83,16 +87,25 @@ class Planner:
                 out.add(b)
         return frozenset(out)
 
-    def summed(self, query: Query, b: int, sums: tuple[ColumnRef, ...], rows: DataFrame) -> DataFrame:
+    def wraps(self, query: Query, sums: tuple[ColumnRef, ...]) -> bool:
+        """Whether a sum may pass 2^63: by the greatest value and the rows of all relations multiplied. Yes where there are no statistics."""
+        if self.order != "cost":
+            return True
+        known = self.statistics(query)
+        most = max((max(abs(c.low or 0), abs(c.high or 0)) for s in sums for c in [known[query.relations[s.binding]].columns[s.column]]), default=0)
+        return most * prod(known[r].rows for r in query.relations) >= 2**63
+
+    def summed(self, query: Query, b: int, sums: tuple[ColumnRef, ...], rows: DataFrame, wraps: bool = False) -> DataFrame:
         """A binding's rows by its join columns: their number, and the sums of its other columns."""
         keys = join_columns(query, b)
-        values = [F.sum(F.col(c.name)).alias(c.name) for c in sums if c.binding == b and c not in keys]
+        values = [(wrapping_sum if wraps else F.sum)(F.col(c.name)).alias(c.name) for c in sums if c.binding == b and c not in keys]
         return rows.groupBy(*(c.name for c in keys)).agg(F.count("*").alias(weight(b)), *values)
 
     def binding(self, query: Query, b: int, sums: tuple[ColumnRef, ...]) -> DataFrame:
         """Scan of a binding with its filters and the equalities inside it."""
         relation = self.catalog[query.relations[b]]
-        out = scan(relation.df, b, query.needed_columns(b, sums))
+        needed = query.needed_columns(b, sums)
+        out = scan(relation.read(needed), b, needed)
         out = filter_constants(out, query.filters_on(b), relation.unsigned)
         inner = [j for j in query.joins if j.left.binding == j.right.binding == b]
         return out.filter(_equal(inner)) if inner else out
@@ -109,10 +122,10 @@ class Planner:
             return join_order(query, self.statistics(query)) or order
         return order
 
-    def joined(self, query: Query, sums: tuple[ColumnRef, ...], eager: frozenset[int] = frozenset()) -> DataFrame:
+    def joined(self, query: Query, sums: tuple[ColumnRef, ...], eager: frozenset[int] = frozenset(), wraps: bool = False) -> DataFrame:
         """All bindings joined; each new one by all predicates that link it to those before, so they become one multi-key join."""
         order = self.bindings_in_order(query)
-        side = lambda b: self.summed(query, b, sums, self.binding(query, b, sums)) if b in eager else self.binding(query, b, sums)
+        side = lambda b: self.summed(query, b, sums, self.binding(query, b, sums), wraps) if b in eager else self.binding(query, b, sums)
         out, done = side(order[0]), {order[0]}
         for b in order[1:]:
             links = [j for j in query.joins if {j.left.binding, j.right.binding} - done == {b} and j.left.binding != j.right.binding]
@@ -125,8 +138,8 @@ class Planner:
     def plan(self, query: Query | str) -> DataFrame:
         """One row with columns s0, s1, ...: each sum mod 2^64, null for a sum of 0 or no rows.
 
-        Sums are bigint over relations of values below 2^63 (a sum that passes 2^63 then raises under ANSI mode), and
-        decimal(20, 0) if a relation of the query is unsigned.
+        Sums are bigint where the statistics show that none can pass 2^63, and decimal(20, 0) elsewhere, without statistics, and
+        if a relation of the query is unsigned.
         """
         query = parse_query(query, self.catalog.widths()) if isinstance(query, str) else query
         check(query, self.catalog.widths())
@@ -134,9 +147,9 @@ class Planner:
         unsigned = any(self.catalog[r].unsigned for r in query.relations)
         self.bindings_in_order(neat)  # refuses relations that aren't connected
         eager = self.eager(neat)
-        rows = self.joined(neat, shared.sums, eager)
-        total = wrapping_sum if unsigned else F.sum
-        one = rows.agg(*(total(_value(neat, c, eager)).alias(f"p{k}") for k, c in enumerate(shared.sums)))
+        wraps = unsigned or self.wraps(neat, shared.sums)
+        rows = self.joined(neat, shared.sums, eager, wraps)
+        one = rows.agg(*(_total(neat, c, eager, wraps).alias(f"p{k}") for k, c in enumerate(shared.sums)))
         return one.select(*(F.nullif(F.col(f"p{p}"), F.lit(0)).alias(f"s{k}") for k, p in enumerate(shared.place)))
 
     def answer(self, query: Query | str) -> DataFrame:

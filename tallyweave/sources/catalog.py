@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
@@ -18,11 +18,17 @@ _INTEGERS = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 
 @dataclass(frozen=True)
 class Relation:
-    """Columns c0, c1, ... of bigint. ``unsigned``: they hold the bits of unsigned values of 2^63 and over."""
+    """Columns c0, c1, ... of bigint. ``unsigned``: they hold the bits of unsigned values of 2^63 and over. ``narrow`` reads some columns
+    only, for sources that Catalyst can't prune."""
 
     name: str
     df: DataFrame
     unsigned: bool = False
+    narrow: Callable[[list[int]], DataFrame] | None = None
+
+    def read(self, columns: Sequence[int]) -> DataFrame:
+        """The relation, with the given columns at least, under their names."""
+        return self.df if self.narrow is None or not columns else self.narrow(list(columns))
 
     @property
     def columns(self) -> list[str]:
@@ -55,9 +61,9 @@ class Catalog:
     def widths(self) -> list[int]:
         return [len(r.columns) for r in self.relations]
 
-    def add(self, df: DataFrame, name: str | None = None, unsigned: bool = False) -> int:
+    def add(self, df: DataFrame, name: str | None = None, unsigned: bool = False, narrow: Callable[[list[int]], DataFrame] | None = None) -> int:
         """Register the integer columns of a DataFrame; returns its number."""
-        self.relations.append(Relation(name or f"r{len(self.relations)}", integer_columns(df), unsigned))
+        self.relations.append(Relation(name or f"r{len(self.relations)}", integer_columns(df), unsigned, narrow))
         return len(self.relations) - 1
 
     def add_parquet(self, path: str, unsigned: bool = False) -> int:
@@ -71,11 +77,13 @@ class Catalog:
         return self.add(self.spark.createDataFrame(table), name, unsigned)
 
     def add_binary(self, path: str, unsigned: bool = False, parquet: str | None = None) -> int:
-        """Register a binary relation file. With ``parquet`` it is converted there once, and queries read that: columns are
-        then pruned and filters pushed down."""
+        """Register a binary relation file; queries read the columns they use. With ``parquet`` it is converted there (again when the file
+        has changed), and queries read that: filters are then pushed down too."""
         from .relbin import convert, read_relation
 
-        return self.add_parquet(convert(self.spark, path, parquet), unsigned) if parquet else self.add(read_relation(self.spark, path), path, unsigned)
+        if parquet:
+            return self.add_parquet(convert(self.spark, path, parquet), unsigned)
+        return self.add(read_relation(self.spark, path), path, unsigned, lambda columns: read_relation(self.spark, path, columns))
 
     def stats(self, number: int) -> TableStats:
         if number not in self._stats:

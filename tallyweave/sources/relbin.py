@@ -7,6 +7,7 @@ many tasks; each task reads one byte range of each wanted column.
 from __future__ import annotations
 
 import struct
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -115,7 +116,40 @@ def read_relation(spark: SparkSession, path: str, columns: list[int] | None = No
     return reader.load(path)
 
 
+def _fingerprint(path: str) -> str:
+    """Size, time of change, rows and columns of a relation file."""
+    from pyarrow import fs
+
+    if path.startswith("file:"):
+        info = fs.LocalFileSystem().get_file_info("/" + path[5:].lstrip("/"))
+    else:
+        system, where = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+        info = system.get_file_info(where)
+    return f"{info.size} {info.mtime_ns} {' '.join(map(str, read_header(path)))}"
+
+
 def convert(spark: SparkSession, path: str, parquet: str) -> str:
-    """Write a binary relation as Parquet, once; returns the Parquet path."""
-    read_relation(spark, path).write.mode("ignore").parquet(parquet)
+    """Write a binary relation as Parquet, unless a whole conversion of the file as it is now is there; returns the Parquet path.
+
+    It is written under another name and renamed when it is whole, with the source's size and time of change beside it.
+    """
+    jvm = spark._jvm
+    target = jvm.org.apache.hadoop.fs.Path(parquet)
+    system = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    mark = jvm.org.apache.hadoop.fs.Path(target, "_source")
+    wanted = _fingerprint(path)
+    if system.exists(jvm.org.apache.hadoop.fs.Path(target, "_SUCCESS")) and system.exists(mark):
+        stream = system.open(mark)
+        found = bytes(stream.readAllBytes()).decode()
+        stream.close()
+        if found == wanted:
+            return parquet
+    fresh = f"{parquet.rstrip('/')}.{uuid.uuid4().hex}"
+    read_relation(spark, path).write.parquet(fresh)
+    stream = system.create(jvm.org.apache.hadoop.fs.Path(fresh, "_source"))
+    stream.write(bytearray(wanted.encode()))
+    stream.close()
+    system.delete(target, True)
+    if not system.rename(jvm.org.apache.hadoop.fs.Path(fresh), target):
+        raise RelationFileError(f"{fresh} can't be renamed to {parquet}")
     return parquet

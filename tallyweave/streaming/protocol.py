@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from tallyweave.plans.planner import Planner
 from tallyweave.sources.catalog import Catalog
 
-END_OF_RELATIONS, END_OF_BATCH = "Done", "F"
+END_OF_RELATIONS, END_OF_BATCH, FAILED = "Done", "F", "ERROR"
 
 
 def read_relations(lines: Iterator[str]) -> list[str]:
@@ -66,17 +66,27 @@ class Engine:
         self.spark.sparkContext.setLocalProperty("spark.scheduler.pool", pool)
         return self.planner.answer(query).first()["answer"]
 
+    def answers(self, queries: list[str]) -> Iterator[str | Exception]:
+        """In the order of the queries each answer, as soon as it and those before it are done, or what went wrong."""
+        with ThreadPoolExecutor(max(1, min(self.threads, len(queries)))) as pool:
+            running = [pool.submit(self.answer, q, f"query{k % self.threads}") for k, q in enumerate(queries)]
+            for one in running:
+                yield one.exception() or one.result()
+
     def answer_batch(self, queries: list[str]) -> list[str]:
         """Answers in the order of the queries; one that fails raises after those before it are done."""
-        if self.threads == 1 or len(queries) < 2:
-            return [self.answer(q) for q in queries]
-        with ThreadPoolExecutor(min(self.threads, len(queries))) as pool:
-            return list(pool.map(lambda item: self.answer(item[1], f"query{item[0] % self.threads}"), enumerate(queries)))
+        out = []
+        for answer in self.answers(queries):
+            if isinstance(answer, Exception):
+                raise answer
+            out.append(answer)
+        return out
 
 
 def serve(spark: SparkSession, source: TextIO = sys.stdin, sink: TextIO = sys.stdout, *, unsigned: bool = False, parquet_dir: str | None = None, threads: int = 8) -> None:
     """Run the protocol from ``source`` to ``sink``. Paths ending in .parquet are Parquet, others binary relations (converted under
-    ``parquet_dir`` if given). Statistics are gathered before the first query."""
+    ``parquet_dir`` if given). Statistics are gathered before the first query. Answers are written as they finish; a query that fails has the line ERROR
+    in its place, and the reason is raised when its batch is written."""
     lines = iter(source.readline, "")
     catalog = Catalog(spark)
     for k, path in enumerate(read_relations(lines)):
@@ -87,9 +97,13 @@ def serve(spark: SparkSession, source: TextIO = sys.stdin, sink: TextIO = sys.st
     catalog.gather()
     engine = Engine(Planner(catalog), threads)
     for batch in read_batches(lines):
-        for answer in engine.answer_batch(batch):
-            sink.write(answer + "\n")
-        sink.flush()
+        failed = None
+        for answer in engine.answers(batch):
+            failed = failed or (answer if isinstance(answer, Exception) else None)
+            sink.write((FAILED if isinstance(answer, Exception) else answer) + "\n")
+            sink.flush()
+        if failed:
+            raise failed
 
 
 def main() -> None:

@@ -68,11 +68,54 @@ def test_sum_that_wraps_to_zero(spark):
     assert answers(catalog, "0||0.0") == ["NULL"]
 
 
-def test_checked_sum_raises(spark):
+def test_sums_over_the_signed_range_wrap(spark):
+    """Plain relations too: sums are mod 2^64, joined and summed up early or not, with statistics or without."""
     catalog = Catalog(spark)
-    catalog.add_columns([[2**62, 2**62, 2**62]])
-    with pytest.raises(Exception, match="OVERFLOW|overflow"):
-        answers(catalog, "0||0.0")
+    catalog.add_columns([[2**62] * 3, [1, 1, 2]])
+    catalog.add_columns([[1, 1, 2, 2, 2], [2**61, 5, 7, 2**62, 2**62]])
+    assert answers(catalog, "0||0.0", "0||0.1") == [str(3 * 2**62), "4"]
+    joined = [(a, b) for a, k in zip([2**62] * 3, [1, 1, 2], strict=True) for j, b in zip([1, 1, 2, 2, 2], [2**61, 5, 7, 2**62, 2**62], strict=True) if j == k]
+    want = " ".join(str(sum(x[i] for x in joined) % 2**64 or "NULL") for i in (0, 1))
+    for options in ({}, {"eager_rows": 0}, {"order": "text"}):
+        assert Planner(catalog, **options).answer("0 1|0.1=1.0|0.0 1.1").first()["answer"] == want
+    assert dict(Planner(catalog).plan("0||0.1").dtypes) == {"s0": "bigint"} and dict(Planner(catalog).plan("0||0.0").dtypes) == {"s0": "decimal(20,0)"}
+
+
+def test_conversion_follows_its_file(spark, tmp_path):
+    """A grown file and a half-written conversion are converted again; an unchanged one is not."""
+    path, parquet = str(tmp_path / "r"), str(tmp_path / "r.parquet")
+    counts = []
+    for rows, spoil in ((10, False), (50, False), (50, True)):
+        relbin.write_relation(path, [np.arange(rows)])
+        if spoil:
+            (tmp_path / "r.parquet" / "_SUCCESS").unlink()
+        counts.append(spark.read.parquet(relbin.convert(spark, path, parquet)).count())
+    made = {p.name for p in (tmp_path / "r.parquet").iterdir()}
+    relbin.convert(spark, path, parquet)
+    assert counts == [10, 50, 50] and {p.name for p in (tmp_path / "r.parquet").iterdir()} == made
+
+
+def test_binary_scans_read_the_columns_in_use(spark, basic):
+    catalog = Catalog(spark)
+    catalog.add_binary(basic)
+    assert catalog[0].read((2,)).columns == ["c2"] and answers(catalog, "0|0.2>990|0.2") == [str(sum(v for v in (3 * i % 1000 for i in range(2000)) if v > 990))]
+
+
+def test_a_cluster_needs_a_shared_folder(monkeypatch):
+    from types import SimpleNamespace
+
+    from tallyweave.functions.workers import shared_dir
+
+    unset = SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: default), sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(RuntimeError):
+        shared_dir(unset)
+
+
+def test_a_failing_query_loses_no_other_answer(spark, basic):
+    sink = io.StringIO()
+    with pytest.raises(ValueError):
+        serve(spark, io.StringIO(f"{basic}\nDone\n0|0.0<2000|0.0\n0|0.9<1|0.0\n0|0.0=3|0.1\nF\n"), sink)
+    assert sink.getvalue() == "1999000\nERROR\n3\n"
 
 
 def test_tiny_and_empty_relations(spark, tmp_path):
