@@ -48,11 +48,29 @@ PATTERNS = {
 }
 #: A titled name: the words behind the title (initials between them are passed over).
 TITLED = rf"(?:{_TITLE})(?!\p{{L}})\.? (?:(?:{_TITLE})\.? ){{0,2}}(?:\p{{Lu}}\. ){{0,2}}{(WORD := rf"(?!(?:{_TITLE})(?!\p{{L}}))\p{{Lu}}\p{{L}}++(?:['’-]\p{{Lu}}\p{{L}}*+){{0,3}}+")}(?: {WORD})?"
-#: Entities start where no word goes on before them: one look behind settles most places of a text.
+#: Entities start where no word goes on before them.
 START = r"(?<![A-Za-z0-9_])"
 KNOWN = START + "(?:" + "|".join(f"(?:{p})" for p in PATTERNS.values()) + ")"
 #: The same, and titled names.
 EVERY = START + "(?:" + "|".join(f"(?:{p})" for p in (*PATTERNS.values(), TITLED)) + ")"
+#: Kinds that start with a digit, mark or capital, which few places of a text do: the look behind comes second.
+_SIGNED = "|".join(f"(?=[{first}]){START}(?:{'|'.join(f'(?:{p})' for p in patterns)})" for first, patterns in (("0-9+(", [PATTERNS[k] for k in ("hex_key", "ipv6", "ip", "ssn", "card", "phone")]), ("A-Z", [PATTERNS["access_key"], PATTERNS["ipv6"], PATTERNS["iban"], TITLED])))
+#: What a text with an entity of a kind that starts with any letter must hold (in lower case for secrets), fixed by the patterns.
+_HELD = {"email": ("@",), "secret": ("passw", "pwd", "secret", "token", "key"), "api_token": ("sk-", "sk_", "pk-", "pk_", "rk-", "rk_", "ghp", "gho", "ghs", "github_pat", "xoxb", "xoxp"), "ipv6": (":",)}
+
+
+def has_entity(text: Column) -> Column:
+    """Whether EVERY is found in a text: kinds behind what such a text must hold, so that most texts are seen by one pattern only."""
+    out = text.rlike(_SIGNED) | (text.rlike("[a-f][0-9]") & text.rlike(START + PATTERNS["hex_key"]))
+    for kind, held in _HELD.items():
+        own = F.lower(text) if kind == "secret" else text
+        some = own.contains(held[0])
+        for part in held[1:]:
+            some = some | own.contains(part)
+        out = out | (some & text.rlike(f"{START}(?:{PATTERNS[kind]})"))
+    return F.coalesce(out, F.lit(False))
+
+
 #: Endings of invented given names, and syllables of invented names (fixed values).
 MALE_ENDS, FEMALE_ENDS, OTHER_ENDS = ("on", "ar", "us", "en"), ("a", "ia", "ine", "elle"), ("i", "is", "y", "el")
 SYLLABLES = ("ba", "be", "bo", "da", "de", "do", "fa", "fe", "ga", "go", "ha", "he", "ja", "jo", "ka", "ko", "la", "le", "lo", "ma", "me", "mo", "na", "ne", "no", "ra", "re", "ro", "sa", "so", "ta", "to")
@@ -306,7 +324,7 @@ def replace_entities(docs: DataFrame, *, secret: str, text: str = "text", count_
     kind of character take time in proportion to their length.
     """
     rest = [c for c in docs.columns if c != count_column]
-    hit = F.coalesce(F.col(text).rlike(EVERY), F.lit(False))
+    hit = has_entity(F.col(text))
     untouched = docs.select(*rest).filter(~hit).withColumn("__n", F.lit(0).cast("long"))
     every = F.regexp_extract_all(F.col(text), F.lit(EVERY), F.lit(0))
     titled = F.filter(every, lambda x: x.rlike(f"^(?:{TITLED})$"))
