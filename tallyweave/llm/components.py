@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import discard, materialize
+from .runtime import discard, materialize, skewed_join
+
+#: A table of so many edges may have a node that many of them share, whose rows are dealt to several tasks.
+SALTED_EDGES = 50_000
 
 
 def _minimum(pairs: DataFrame) -> DataFrame:
@@ -13,9 +16,10 @@ def _minimum(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
 
 
-def _large(edges: DataFrame) -> DataFrame:
+def _large(edges: DataFrame, many: bool) -> DataFrame:
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    return both.join(_minimum(both), "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    join = skewed_join(both, _minimum(both), ["u"]) if many else both.join(_minimum(both), "u")
+    return join.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small(edges: DataFrame) -> DataFrame:
@@ -35,7 +39,7 @@ def connected_components(edges: DataFrame, left: str, right: str, rounds: int =
     now = materialize(edges.select(F.col(left).alias("u"), F.col(right).alias("v")).filter("u <> v").distinct(), "edges")
     seen = None
     for _ in range(rounds):
-        after = materialize(_small(_large(now).distinct()).distinct(), "edges")
+        after = materialize(_small(_large(now, seen is None or seen[0] > SALTED_EDGES).distinct()).distinct(), "edges")
         discard(now)
         now = after
         mark = tuple(now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())

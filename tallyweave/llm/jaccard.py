@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .bloom import BlockedBloom
 from .components import connected_components
-from .runtime import discard, fine, materialize, text_slices
+from .runtime import discard, fine, materialize, skewed_join, text_slices
 from .words import mix, shingle_sets
 
 #: Groups that shingles are hashed to: the dimensions of the points in an R-tree. A larger set is
@@ -52,42 +52,55 @@ def may_link(overlap: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 class CountTree:
-    """An R-tree over count vectors, bulk-loaded: points in order of set size and first groups, LEAF to a leaf, leaves' boxes in one array.
+    """An R-tree over count vectors, bulk-loaded: points in order of set size and first groups, LEAF to a node, LEAF nodes to one above, up to one level of at most LEAF nodes.
 
-    For sets A and B the overlap is at most the sum over groups of min(a, b), and for any B in a
-    box at most the sum of min(a, upper corner): leaves and points under the bound are pruned.
+    A node has the upper corner of its box and the least and greatest set size in it. For sets A and B the overlap is at most the sum over
+    groups of min(a, b), for any B in a box at most the sum of min(a, upper corner), and never over the lesser set: nodes and points under the bound are pruned.
+    ``tested`` counts the points that were compared.
     """
 
     def __init__(self, points: np.ndarray, sizes: np.ndarray):
         self.order = np.lexsort((points[:, 1], points[:, 0], sizes)) if len(sizes) > LEAF else np.arange(len(sizes))
         self.points, self.sizes = points[self.order], sizes[self.order]
-        cuts = np.arange(0, len(sizes), LEAF)
-        self.upper = np.maximum.reduceat(self.points, cuts, axis=0)
-        self.least = np.minimum.reduceat(self.sizes, cuts)
         self.alive = np.ones(len(sizes), bool)
         self.place = np.empty(len(sizes), np.int64)
         self.place[self.order] = np.arange(len(sizes))
-        self.cuts = cuts
-        self.living = np.diff(np.append(cuts, len(sizes)))
+        self.tested = 0
+        #: From the leaves up: upper corners, least and greatest sizes, living points.
+        self.levels = []
+        upper, least, most, living = self.points, self.sizes, self.sizes, self.alive.astype(np.int64)
+        while len(upper) > LEAF:
+            cuts = np.arange(0, len(upper), LEAF)
+            upper, living = np.maximum.reduceat(upper, cuts, axis=0), np.add.reduceat(living, cuts)
+            least, most = np.minimum.reduceat(least, cuts), np.maximum.reduceat(most, cuts)
+            self.levels.append((upper, least, most, living))
 
     def remove(self, which: np.ndarray) -> None:
         at = self.place[which]
         self.alive[at] = False
-        np.subtract.at(self.living, at // LEAF, 1)
+        for *_, living in self.levels:
+            at = at // LEAF
+            np.subtract.at(living, at, 1)
 
     def query(self, point: np.ndarray, size: int) -> np.ndarray:
         """Living points whose overlap bound allows a link to ``point``."""
-        if len(self.cuts) > 1:
-            leaves = np.flatnonzero((self.living > 0) & may_link(np.minimum(self.upper, point).sum(axis=1), self.least + size))
-            at = (leaves[:, None] * LEAF + np.arange(LEAF)).ravel()
-            at = at[at < len(self.sizes)]
-        else:
-            at = np.arange(len(self.sizes))
+        at = None
+        for upper, least, most, living in reversed(self.levels):
+            at = np.arange(len(living)) if at is None else self._below(at, len(living))
+            at = at[(living[at] > 0) & may_link(np.minimum(size, most[at]), least[at] + size)]
+            at = at[may_link(np.minimum(upper[at], point).sum(axis=1), least[at] + size)]
+        at = np.arange(len(self.sizes)) if at is None else self._below(at, len(self.sizes))
         at = at[self.alive[at]]
+        self.tested += len(at)
         if len(at):
             at = at[may_link(np.minimum(self.points[at], point).sum(axis=1), self.sizes[at] + size)]
         return self.order[at]
 
+    @staticmethod
+    def _below(nodes: np.ndarray, n: int) -> np.ndarray:
+        at = (nodes[:, None] * LEAF + np.arange(LEAF)).ravel()
+        return at[at < n]
+
 
 def spanning_links(points: np.ndarray, sizes: np.ndarray, check: Callable[[int, np.ndarray], np.ndarray] | None = None) -> list[tuple[int, int]]:
     """Links of a spanning forest of the graph whose edges are the pairs under the bound that pass ``check``.
@@ -200,10 +213,10 @@ def _prefix(shingles: np.ndarray, level: np.ndarray) -> np.ndarray:
     return low
 
 
-def _class_of(shingles: np.ndarray) -> int:
-    """64 bits for a set: equal sets have equal ones (and different ones, but for hash collisions, differ)."""
-    total = np.add.reduce(mix(shingles ^ np.uint64(0xA5A5A5A55A5A5A5A)), keepdims=True) + np.uint64(len(shingles))
-    return int(mix(total)[0].astype(np.int64))
+def _class_of(shingles: np.ndarray) -> tuple[int, int]:
+    """Two independent hashes of 64 bits for a set. The first tells classes; where two of its values with different second ones meet, the second does."""
+    each = [np.add.reduce(mix(shingles ^ np.uint64(salt)), keepdims=True) + np.uint64(len(shingles)) for salt in (0xA5A5A5A55A5A5A5A, 0x3C6EF372FE94F82B)]
+    return tuple(int(mix(total)[0].astype(np.int64)) for total in each)
 
 
 def _vector_bytes(vector: np.ndarray) -> bytes:
@@ -219,22 +232,24 @@ def _vectors(column: pa.Array, sizes: np.ndarray) -> tuple[np.ndarray, list[np.n
 
 
 def _profiles(rows: DataFrame, level: np.ndarray) -> DataFrame:
-    """(k, n, c, prefix, vector) for each row of (k, t): set size, class of equal sets (null if empty); prefix and vector only for the first row of a text in a task."""
+    """(k, n, c, other, prefix, vector) for each row of (k, t): set size, both hashes of its class of equal sets (null if empty); prefix and vector only for the first row of a text in a task."""
     shared = rows.sparkSession.sparkContext.broadcast(level)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, first, data, at, fresh in _distinct_texts(batches, 1, 0):
-            ns, cs, prefixes, vectors = [], [], [], []
+            ns, cs, others, prefixes, vectors = [], [], [], [], []
             for s, f in zip(shingle_sets(data, at), fresh, strict=True):
                 ns.append(len(s))
-                cs.append(_class_of(s) if len(s) else None)
+                c, other = _class_of(s) if len(s) else (None, None)
+                cs.append(c)
+                others.append(other)
                 use = f and len(s) > 0
                 prefixes.append(_prefix(s, shared.value).tobytes() if use else None)
                 vectors.append(_vector_bytes(count_vector(s, groups_of(len(s)))) if use else None)
             keys = batch.column(0).slice(first, len(ns))
-            yield pa.RecordBatch.from_arrays([keys, pa.array(ns, pa.int64()), pa.array(cs, pa.int64()), pa.array(prefixes, pa.binary()), pa.array(vectors, pa.binary())], ["k", "n", "c", "prefix", "vector"])
+            yield pa.RecordBatch.from_arrays([keys, pa.array(ns, pa.int64()), pa.array(cs, pa.int64()), pa.array(others, pa.int64()), pa.array(prefixes, pa.binary()), pa.array(vectors, pa.binary())], ["k", "n", "c", "other", "prefix", "vector"])
 
-    return rows.mapInArrow(run, f"k {rows.schema['k'].dataType.simpleString()}, n long, c long, prefix binary, vector binary")
+    return rows.mapInArrow(run, f"k {rows.schema['k'].dataType.simpleString()}, n long, c long, other long, prefix binary, vector binary")
 
 
 def _keyed_runs(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[list[np.ndarray | pa.Array]]:
@@ -350,7 +365,13 @@ def _lists(profiles: DataFrame) -> DataFrame:
 
     keyed = profiles.filter("prefix is not null and k is not null").select("c", "prefix", "n").mapInArrow(spread, "h long, c long")
     found = keyed.repartition(fine(profiles.sparkSession), F.shiftright("h", STEP_BITS)).sortWithinPartitions("h", "c").mapInArrow(runs, "g long, part int, c long")
-    return _split_long(materialize(found.distinct(), "lists"), "g", "c").distinct()
+    found = materialize(found.distinct(), "lists")
+    # Lists that merging made long are cut too.
+    long = found.filter("part < 0").groupBy("g").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks")).filter("chunks > 1")
+    if not long.isEmpty():
+        cut = found.join(materialize(long, "long-lists"), "g", "left").select("g", F.when((F.col("part") < 0) & (F.col("chunks") > 1), F.pmod(F.xxhash64("c", F.lit("list")), "chunks").cast("int")).otherwise(F.col("part")).alias("part"), "c")
+        found = materialize(cut, "cut-lists")
+    return _split_long(found, "g", "c").distinct()
 
 
 def _bound_links(lists: DataFrame, vectors: DataFrame) -> DataFrame:
@@ -392,7 +413,7 @@ def _true_links(groups: DataFrame) -> DataFrame:
                 for _, _, data, offsets in text_slices(t.slice(at, end - at)):
                     sets += shingle_sets(data, offsets)
                 for k, s in enumerate(sets):  # another text of the same key is not of this class
-                    if len(s) and _class_of(s) == c[at + k]:
+                    if len(s) and c[at + k] in _class_of(s):
                         members.append(k)
                 own = {int(c[at + k]): k for k in members}
                 members = sorted(own.values())
@@ -408,6 +429,13 @@ def _true_links(groups: DataFrame) -> DataFrame:
     return groups.mapInArrow(run, "a long, b long")
 
 
+def _classes(profiles: DataFrame) -> DataFrame:
+    """(c, least, n, vector, low, high): for each class its least key, set size and count vector, and the range of its second hash."""
+    rows = profiles.filter("c is not null and k is not null").groupBy("c")
+    one = rows.agg(F.min("k").alias("least"), F.first("n").alias("n"), F.first("vector", ignorenulls=True).alias("vector"), F.min("other").alias("low"), F.max("other").alias("high"))
+    return materialize(one, "classes")
+
+
 def jaccard_components(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_shingles, component_id) for each row: set size, and the least key reachable by links of Jaccard similarity 0.8 or more.
 
@@ -427,7 +455,13 @@ def jaccard_components(docs: DataFrame, *, key: str = "doc_id", text: str = "tex
     spark = docs.sparkSession
     rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
     profiles = materialize(_profiles(rows, _frequencies(rows.select("t"))), "profiles")
-    classes = materialize(profiles.filter("c is not null and k is not null").groupBy("c").agg(F.min("k").alias("least"), F.first("n").alias("n"), F.first("vector", ignorenulls=True).alias("vector")), "classes")
+    classes = _classes(profiles)
+    clash = classes.filter("low <> high").select("c")
+    if not clash.isEmpty():  # different sets with one hash: their rows go by the other one
+        fused = profiles.join(clash.withColumn("clash", F.lit(True)), "c", "left")
+        both = profiles.columns
+        profiles = materialize(fused.withColumn("c", F.when(F.col("clash"), F.col("other")).otherwise(F.col("c"))).select(*both), "profiles")
+        classes = _classes(profiles)
     loose = connected_components(_bound_links(_lists(profiles), classes.select("c", "n", "vector")), "a", "b")
 
     wanted = materialize(classes.join(loose.withColumnRenamed("node", "c"), "c").select("c", F.col("least").alias("k"), "n", F.col("component").alias("g")), "wanted")
@@ -448,6 +482,8 @@ def jaccard_components(docs: DataFrame, *, key: str = "doc_id", text: str = "tex
     linked = classes.select("c", "least").join(true.withColumnRenamed("node", "c"), "c")
     roots = linked.groupBy("component").agg(F.min("least").alias("root"))
     named = classes.select("c", "least").join(linked.join(roots, "component").select("c", "root"), "c", "left").select("c", F.coalesce("root", "least").alias("root"))
-    out = profiles.select("k", "n", "c").join(named, "c", "left")
+    named = materialize(named, "named")
+    discard(classes, wanted)
+    out = skewed_join(profiles.select("k", "n", "c"), named, ["c"], "left")
     own = F.when(F.col("k").isNotNull(), F.coalesce("root", "k"))
     return out.select(F.col("k").alias(key), F.col("n").alias("n_shingles"), own.alias("component_id"))

@@ -107,3 +107,44 @@ def test_spanning_links_reach_all():
     found = jaccard.spanning_links(np.ones((60, jaccard.GROUPS), int), np.full(60, jaccard.GROUPS), check)
     label = components_of([(k, set()) for k in range(60)], links)
     assert components_of([(k, set()) for k in range(60)], found) == label and len(found) == 60 - len(set(label))
+
+
+def test_merged_lists_are_cut(spark, monkeypatch):
+    """Lists that are short by themselves but long when merged by their least class."""
+    monkeypatch.setattr(jaccard, "CHUNK", 16)
+    rng = random.Random(8)
+    base = [f"m{k}" for k in range(60)]
+    rows = [(k, edited(rng, base, 2)) for k in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    profiles = jaccard._profiles(df.selectExpr("doc_id as k", "text as t"), np.zeros(jaccard.SKETCH, np.uint8))
+    sizes = [r["count"] for r in jaccard._lists(profiles).groupBy("g").count().collect()]
+    assert max(sizes) <= 6 * jaccard.CHUNK  # two chunks by hash, which vary in size
+    check(df, rows)
+
+
+def test_sets_with_one_hash_stay_apart(spark, monkeypatch):
+    """Different sets whose first hashes are equal are told by the second."""
+    real = jaccard._class_of
+    monkeypatch.setattr(jaccard, "_class_of", lambda s: (real(s)[0] % 3, real(s)[1]))
+    rng = random.Random(9)
+    rows = [(k, " ".join(f"h{rng.randrange(40)}" for _ in range(rng.randrange(3, 12)))) for k in range(60)] + [(100 + k, "one text that stands here more than once") for k in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    sets = [plain_set(t) for _, t in rows]
+    want = components_of([(i, s) for (i, _), s in zip(rows, sets, strict=True)])
+    profiles = jaccard._profiles(df.selectExpr("doc_id as k", "text as t"), np.zeros(jaccard.SKETCH, np.uint8))
+    assert want[-1] == 100 and profiles.select("other").distinct().count() == len({frozenset(s) for s in sets})
+
+
+def test_tree_compares_few_points():
+    """Clusters of like points: a query compares a small share of all pairs, at every number of levels."""
+    rng = np.random.default_rng(3)
+    centres = rng.poisson(4, (60, jaccard.GROUPS)) * rng.integers(1, 40, 60)[:, None]
+    points = np.repeat(centres, 40, axis=0) + rng.integers(0, 2, (2400, jaccard.GROUPS))
+    sizes = points.sum(axis=1)
+    tree = jaccard.CountTree(points, sizes)
+    assert len(tree.levels) == 2
+    for one in range(0, 2400, 17):
+        found = tree.query(points[one], int(sizes[one]))
+        want = np.flatnonzero(jaccard.may_link(np.minimum(points, points[one]).sum(axis=1), sizes + sizes[one]))
+        assert sorted(found) == want.tolist()
+    assert tree.tested < 0.25 * 2400 * len(range(0, 2400, 17))
