@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .runtime import discard, fine, materialize, table_path
+from .runtime import discard, fine, materialize, skewed_join, table_path
 
 END = "\r\n\r\n"
 #: Ranges closer than this are read as one, and one read has at most READ_BYTES (a longer record is read alone).
@@ -46,13 +46,18 @@ def write_archive(pages: DataFrame, path: str | None = None, *, key: str = "page
     protocol keeps one whole copy of each part when tasks are retried.
 
     A null key is written as such and never is the one that others refer to; rows with a repeated
-    key and payload beyond the first are written as responses, since a record can't refer to itself.
+    key and payload beyond the first are written as responses, since a record can't refer to itself. Keys of any type are
+    written percent-encoded, and of URLs all that a header can't hold, so that no value ends a header or is taken for another.
     """
     path = path or table_path(pages.sparkSession, "warc")
     rows, first = _records(pages, key, url, html, revisit_bytes)
     revisit = F.col("refers").isNotNull() & ~F.col("k").eqNullSafe(F.col("refers"))
-    uri = F.regexp_replace(F.coalesce("u", F.lit("")), r"[\r\n]", " ")
-    named = lambda what, k: F.concat(F.lit(f"{what}: <urn:page:"), F.coalesce(k.cast("string"), F.lit("null")), F.lit(">\r\n"))
+    uri = F.coalesce("u", F.lit(""))
+    for mark in ("%", "\r", "\n", "\x0b", "\x0c", "\x85", "\u2028", "\u2029"):  # the escape first; then what ends a line for some reader
+        uri = F.replace(uri, F.lit(mark), F.lit("".join(f"%{b:02X}" for b in mark.encode()))) if mark != "%" else F.when(uri.rlike(r"[\r\n\x0b\x0c\x85\u2028\u2029]"), F.replace(uri, F.lit("%"), F.lit("%25"))).otherwise(uri)
+    # An empty name stands for a null key: an empty key is written as a pair of quotes, which no encoded key holds.
+    name = lambda k: F.when(k.isNull(), "").when(k.cast("string") == "", '""').otherwise(F.url_encode(k.cast("string")))
+    named = lambda what, k: F.concat(F.lit(f"{what}: <urn:page:"), name(k), F.lit(">\r\n"))
     body = F.when(revisit, "").otherwise(F.col("p"))
     head = F.concat(
         F.lit("WARC/1.1\r\nWARC-Type: "), F.when(revisit, "revisit").otherwise("response"), F.lit("\r\n"),
@@ -146,10 +151,11 @@ def read_records(index: DataFrame, *, with_payload: bool = True) -> DataFrame:
     """The records that ``index`` (file, offset, length) names: record_id, record_type, url, payload_digest, payload_bytes, refers_to, content_sha1 and, if asked for, payload.
 
     Index rows are sorted by file and offset, in runs that end with a task, and each run's ranges
-    are coalesced. ``content_sha1`` is of the bytes read (the header's for a revisit, which has none).
+    are coalesced. ``content_sha1`` is of the bytes read (the header's for a revisit, which has none; :func:`resolve_revisits` reads the payload it refers to).
     """
     import base64
     import hashlib
+    from urllib.parse import unquote_plus
 
     names = ["record_id", "record_type", "url", "payload_digest", "payload_bytes", "refers_to", "content_sha1", "payload"]
 
@@ -166,7 +172,7 @@ def read_records(index: DataFrame, *, with_payload: bool = True) -> DataFrame:
                     body = raw[stop + 4 : stop + 4 + int(fields["Content-Length"])]
                     kind = fields["WARC-Type"]
                     digest = fields["WARC-Payload-Digest"].removeprefix("sha1:")
-                    plain = lambda x: None if x is None or x == "<urn:page:null>" else x.removeprefix("<urn:page:").removesuffix(">")
+                    plain = lambda x: None if x is None or x == "<urn:page:>" else unquote_plus(x.removeprefix("<urn:page:").removesuffix(">").replace('""', ""))
                     own = digest if kind == "revisit" else base64.b32encode(hashlib.sha1(body).digest()).decode()
                     size = int(fields["X-Payload-Length"]) if kind == "revisit" else len(body)
                     for column, value in zip(out, (plain(fields["WARC-Record-ID"]), kind, fields.get("WARC-Target-URI", ""), digest, size, plain(fields.get("WARC-Refers-To")), own, body if with_payload else None), strict=True):
@@ -186,15 +192,34 @@ def _batch(out: list[list], names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], names)
 
 
+def resolve_revisits(records: DataFrame) -> DataFrame:
+    """``records`` (of :func:`read_records`) with the size, digest and, if there, payload of each revisit taken from the response that it refers to.
+
+    ``resolved`` is whether that response is among the records and its bytes have the digest that the revisit names; true for responses. Responses that many
+    revisits refer to are joined in salted parts.
+    """
+    records = materialize(records, "warc-records")
+    payload = ["payload"] if "payload" in records.columns else []
+    revisit = F.col("record_type") == "revisit"
+    # Repeated keys: a response is told by its key and digest.
+    source = records.filter("record_type = 'response'").join(records.filter(revisit).select(F.col("refers_to").alias("record_id"), F.col("payload_digest").alias("content_sha1")).distinct(), ["record_id", "content_sha1"], "left_semi")
+    source = source.groupBy(F.col("record_id").alias("refers_to"), F.col("content_sha1").alias("payload_digest")).agg(F.first("payload_bytes").alias("__bytes"), F.lit(True).alias("__found"), *(F.first(c).alias("__payload") for c in payload))
+    joined = skewed_join(records.filter(revisit), materialize(source, "warc-sources"), ["refers_to", "payload_digest"], "left")
+    found = F.coalesce("__found", F.lit(False))
+    own = {"payload_bytes": F.coalesce("__bytes", F.lit(None).cast("long")), "content_sha1": F.when(found, F.col("payload_digest")), "payload": F.col("__payload") if payload else None}
+    back = joined.select(*(own[c].alias(c) if c in own else F.col(c) for c in records.columns), found.alias("resolved"))
+    return records.filter(~revisit).withColumn("resolved", F.lit(True)).union(back)
+
+
 def archive_round_trip(pages: DataFrame, *, key: str = "page_id", url: str = "url", html: str = "html", revisit_bytes: int = 0) -> DataFrame:
     """Write ``pages`` as WARC, index the archives, read all records back: (key, payload_bytes, payload_digest, record_type, refers_to) for each row.
 
-    A response's size and digest are those of the bytes read back. Null html is an empty payload;
+    A response's size and digest are those of the bytes read back, a revisit's those of the response that it refers to. Null html is an empty payload;
     null URLs are written as empty ones; an empty table gives an empty result; other columns are
     ignored. See :func:`write_archive` for ties and repeated rows.
     """
     spark = pages.sparkSession
     path = write_archive(pages, key=key, url=url, html=html, revisit_bytes=revisit_bytes)
-    back = read_records(build_index(spark, path), with_payload=False)
+    back = resolve_revisits(read_records(build_index(spark, path), with_payload=False).drop("payload"))
     kind = pages.schema[key].dataType
     return back.select(F.col("record_id").cast(kind).alias(key), "payload_bytes", F.col("content_sha1").alias("payload_digest"), "record_type", F.col("refers_to").cast(kind).alias("refers_to"))

@@ -184,6 +184,25 @@ def test_ranges_are_coalesced(tmp_path):
     assert got == {k: raw[o : o + n] for k, (o, n) in enumerate(zip(offsets.tolist(), lengths.tolist(), strict=True))}
 
 
+def test_keys_of_any_text(spark):
+    """Keys and URLs that look like headers, nulls and escapes come back as they are, and revisits name them."""
+    keys = [None, "", "null", '""', "a>\r\nX: y", "a\r\n\r\nb", "%41", "a b+c", "é中 \u2028", "<urn:page:x>", "z1", "z2"]
+    rows = [(k, f"http://h/{k}", f"page {i % 8}") for i, k in enumerate(keys)]
+    got = warc.archive_round_trip(spark.createDataFrame(rows, "page_id string, url string, html string")).collect()
+    assert sorted(repr((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to)) for r in got) == plain_archive([(k, h.encode()) for k, _, h in rows], 0)
+
+
+def test_revisits_are_resolved(spark):
+    html = ["x" * 50, "y", "x" * 50, "x" * 50, "", "y"]
+    pages = spark.createDataFrame([(k, "u", h) for k, h in enumerate(html)], "page_id long, url string, html string")
+    index = warc.build_index(spark, warc.write_archive(pages))
+    got = {int(r.record_id): r for r in warc.resolve_revisits(warc.read_records(index)).collect()}
+    assert {k: r.payload.decode() for k, r in got.items()} == dict(enumerate(html)) and all(r.resolved and r.payload_bytes == len(r.payload) for r in got.values())
+    part = warc.resolve_revisits(warc.read_records(index).filter("record_id <> '0'")).collect()
+    assert {int(r.record_id): r.resolved for r in part} == {1: True, 2: False, 3: False, 4: True, 5: True}
+    assert all(r.payload is None and r.content_sha1 is None for r in part if not r.resolved)
+
+
 def test_empty_archive(spark):
     assert warc.archive_round_trip(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
