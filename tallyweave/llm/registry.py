@@ -14,7 +14,6 @@ URL_RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block",
 #: Hosts that the URL list blocks, under each of the domains (fixed values).
 LISTED_HOSTS = ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "malware-drop", "phish-bank", "spam-farm")
 LISTED_DOMAINS = ("example.com", "example.net", "example.org")
-PII_SECRET = "tallyweave-surrogates"
 
 
 def tokenizer_path(name: str) -> str:
@@ -37,7 +36,7 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     listed = spark.createDataFrame([(f"{host}.{domain}/",) for host in LISTED_HOSTS for domain in LISTED_DOMAINS], "listed string")
-    return urls.filter_urls(_table(spark, sf_dir, "pages"), listed, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+    return urls.filter_urls(_table(spark, sf_dir, "pages"), listed, URL_RULES, canonical=True).select("page_id", "host", "path", "rule", "verdict")
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,21 +80,23 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 _FITS = {f"{host}{path}": f"(('.' || host) LIKE '%.{host}' AND starts_with(path, '{path}'))" for _, host, path in URL_RULES}
 _BY_LENGTH = sorted(URL_RULES, key=lambda r: -len(r[1] + r[2]))
-_LISTED = " OR ".join(f"('.' || host) LIKE '%.{host}.{domain}'" for host in LISTED_HOSTS for domain in LISTED_DOMAINS)
+_LISTED = " OR ".join(f"('.' || plain) LIKE '%.{host}.{domain}'" for host in LISTED_HOSTS for domain in LISTED_DOMAINS)
 
 OP3_SQL = rf"""
 WITH parts AS (
   SELECT page_id, strpos(url, '://') AS p, substr(url, strpos(url, '://') + 3) AS rest FROM pages
-), split AS (
+), hosts AS (
   SELECT page_id,
     CASE WHEN p > 0 THEN translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE '' END AS host,
     CASE WHEN p > 0 THEN regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) ELSE '' END AS path
   FROM parts
+), split AS (
+  SELECT *, regexp_replace(regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', ''), '\.+$', '') AS plain FROM hosts
 )
 SELECT page_id, host, path,
   CASE {" ".join(f"WHEN {_FITS[h + p]} THEN '{h}{p}'" for _, h, p in _BY_LENGTH)} END AS rule,
   CASE {" ".join(f"WHEN {_FITS[h + p]} THEN '{v}'" for v, h, p in _BY_LENGTH)}
-    WHEN starts_with(path, '/') AND ({_LISTED}) THEN 'block' ELSE 'allow' END AS verdict
+    WHEN plain <> '' AND ({_LISTED}) THEN 'block' ELSE 'allow' END AS verdict
 FROM split
 """
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bloom import BlockedBloom
+from .runtime import materialize, skewed_join
 
 #: Rules become one expression, so their number is bounded.
 MOST_RULES = 200
@@ -32,25 +33,53 @@ def _fits(host: Column, path: Column, rule: tuple[str, str]) -> Column:
     return ((host == name) | host.endswith("." + name)) & path.startswith(start)
 
 
-def _expressions(host: Column, path: Column) -> Column:
-    """What a list may hold of a URL: for the host and each parent domain, the whole path and its first slash."""
-    labels = F.split(host, r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
+#: Characters that need no escape in a path, by the escapes that may stand for them.
+PLAIN = tuple((f"%(?i:{ord(c):02X})", c) for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-._~")
+#: Then lower-case hexadecimal letters of the escapes that are left.
+CAPITALS = tuple((f"%{x}([0-9A-Fa-f])", f"%{x.upper()}$1") for x in "abcdef") + tuple((f"%([0-9A-F]){x}", f"%$1{x.upper()}") for x in "abcdef")
+
+
+def canonical_host(host: Column) -> Column:
+    """Without user information, port and dots at its end."""
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(host, "^.*@", ""), ":[0-9]*$", ""), r"\.++$", "")
+
+
+def canonical_path(path: Column) -> Column:
+    """An empty path is one slash; escapes of characters that need none are undone, in the order of PLAIN, the others in capitals."""
+    pairs = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in PLAIN + CAPITALS))
+    plain = F.when(path.contains("%"), F.aggregate(pairs, path, lambda out, p: F.regexp_replace(out, p["a"], p["b"]))).otherwise(path)
+    return F.when(path == "", "/").otherwise(plain)
+
+
+def canonical_entry(entry: Column) -> Column:
+    """The host and path of a list entry in canonical form; null without a host."""
+    whole = F.when(entry.contains("://"), entry).otherwise(F.concat(F.lit("x://"), entry))
+    host = canonical_host(host_of(whole))
+    return F.when(host != "", F.concat(host, canonical_path(path_of(whole))))
+
+
+def _expressions(host: Column, path: Column, depth: int) -> Column:
+    """What a list may hold of a URL: for the last labels of the host, up to the ``depth`` that the list has, the whole path and its first slash."""
+    labels = F.length(host) - F.length(F.replace(host, F.lit("."), F.lit(""))) + 1
+    suffixes = F.transform(F.sequence(F.lit(1), F.least(F.lit(max(1, depth)), labels)), lambda k: F.call_function("substring_index", host, F.lit("."), -k))
     ways = F.array_distinct(F.array(path, F.substring(path, 1, 1)))
     found = F.flatten(F.transform(suffixes, lambda s: F.transform(ways, lambda w: F.concat(s, w))))
     return F.when(host != "", found).otherwise(F.array().cast("array<string>"))
 
 
-def filter_urls(pages: DataFrame, listed: DataFrame, rules: Iterable[tuple[str, str, str]] = (), *, key: str = "page_id", url: str = "url", list_column: str = "listed") -> DataFrame:
+def filter_urls(pages: DataFrame, listed: DataFrame, rules: Iterable[tuple[str, str, str]] = (), *, key: str = "page_id", url: str = "url", list_column: str = "listed", canonical: bool = False) -> DataFrame:
     """(key, host, path, rule, listed, verdict) for each row of ``pages``.
 
     ``rules`` are (verdict, host, path prefix); a rule fits its host and all subdomains, and the
     longest fitting rule decides. Elsewhere the list decides: ``listed`` holds canonical URLs (host
     and path, no scheme or query; ``host/`` lists a whole domain with its subdomains). A URL's host
-    suffixes with its path go through a blocked Bloom filter of the list; only possible hits reach
+    suffixes (as many labels as the list has) with its path go through a blocked Bloom filter of the list; only possible hits reach
     the exact join with the list, which removes false positives. Verdict ``block`` if listed, else
     ``allow``. The filter has a fixed largest size; the list itself is joined by a shuffle (or
-    broadcast by the planner if it is small) and may be of any size.
+    broadcast by the planner if it is small) and may be of any size. ``pages`` are scanned once.
+
+    With ``canonical`` list entries and URLs are compared in canonical form: no scheme, user information, port or dots behind the host, an empty path as
+    ``/``, percent escapes normalised (dot segments stay). Else as they are written, but for the host's A-Z. The columns host and path are as written.
 
     Null URLs and URLs without ``://`` have an empty host and path, no rule and verdict ``allow``.
     Null and repeated keys are kept row by row; null list entries are ignored; other columns of the
@@ -60,7 +89,10 @@ def filter_urls(pages: DataFrame, listed: DataFrame, rules: Iterable[tuple[str,
     if len(rules) > MOST_RULES:
         raise ValueError(f"more than {MOST_RULES} rules; put them in the list")
     spark = pages.sparkSession
-    names = listed.select(F.col(list_column).alias("entry")).filter("entry is not null").distinct()
+    entry = F.col(list_column).cast("string")
+    names = listed.select((canonical_entry(entry) if canonical else entry).alias("entry")).filter("entry is not null").distinct()
+    host = F.substring_index("entry", "/", 1)
+    depth = names.agg(F.max(F.length(host) - F.length(F.replace(host, F.lit("."), F.lit(""))) + 1)).first()[0] or 0
     hashed = names.select(F.xxhash64("entry").alias("h"))
     bloom = spark.sparkContext.broadcast(BlockedBloom.build(hashed, "h", hashed.count()).words)
 
@@ -78,12 +110,13 @@ def filter_urls(pages: DataFrame, listed: DataFrame, rules: Iterable[tuple[str,
     for what, name, start in reversed(rules):
         fits = _fits(F.col("host"), F.col("path"), (name, start))
         rule, verdict = F.when(fits, name + start).otherwise(rule), F.when(fits, what).otherwise(verdict)
-    rows = rows.select("*", rule.alias("rule"), verdict.alias("ruled"), _expressions(F.col("host"), F.col("path")).alias("said"))
+    form = (canonical_host(F.col("host")), canonical_path(F.col("path"))) if canonical else (F.col("host"), F.col("path"))
+    rows = rows.select("*", rule.alias("rule"), verdict.alias("ruled"), _expressions(*form, depth).alias("said"))
     rows = rows.withColumn("hashes", F.transform("said", lambda e: F.xxhash64(e)))
     rows = rows.mapInArrow(probe, f"k {pages.schema[key].dataType.simpleString()}, host string, path string, rule string, ruled string, said array<string>, maybe boolean")
 
-    tried = rows.filter("maybe").select("host", "path", "said").distinct()
-    hits = tried.select("host", "path", F.explode("said").alias("entry")).join(names, "entry").select("host", "path").distinct()
-    checked = rows.filter("maybe").join(hits.withColumn("listed", F.lit(True)), ["host", "path"], "left")
-    parts = [x.select("k", "host", "path", "rule", "ruled", F.coalesce(y, F.lit(False)).alias("listed")) for x, y in ((checked, F.col("listed")), (rows.filter(~F.col("maybe")), F.lit(False)))]
-    return parts[0].union(parts[1]).select(F.col("k").alias(key), "host", "path", "rule", "listed", F.coalesce("ruled", F.when(F.col("listed"), "block").otherwise("allow")).alias("verdict"))
+    rows = materialize(rows.withColumn("said", F.when(F.col("maybe"), F.col("said"))), "probed")
+    hits = rows.filter("maybe").select("said").distinct().select("said", F.explode("said").alias("entry")).join(names, "entry").select("said").distinct()
+    hits = materialize(hits.withColumn("listed", F.lit(True)), "listed")
+    checked = skewed_join(rows.filter("maybe"), hits, ["said"], "left").unionByName(rows.filter("not maybe").withColumn("listed", F.lit(False)))
+    return checked.select(F.col("k").alias(key), "host", "path", "rule", F.coalesce("listed", F.lit(False)).alias("listed"), F.coalesce("ruled", F.when(F.col("listed"), "block").otherwise("allow")).alias("verdict"))

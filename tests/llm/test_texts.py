@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -141,6 +142,59 @@ def test_url_verdicts(spark):
     assert sorted(repr((r.host, r.path, r.rule, r.verdict)) for r in rows) == want
 
 
+def canonical_form(host, path):
+    """Host and path as a list is compared with them, by plain Python."""
+    host = re.sub(r"\.+$", "", re.sub(":[0-9]*$", "", host.rpartition("@")[2]))
+    for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-._~":
+        path = re.sub(f"%{ord(c):02x}", c, path, flags=re.I)
+    return host, re.sub("%[0-9A-Fa-f]{2}", lambda m: m[0].upper(), path) or "/"
+
+
+SPELLINGS = [
+    "http://free-bets.example.com", "http://free-bets.example.com?x=1", "http://free-bets.example.com/", "http://free-bets.example.com:80/a", "http://free-bets.example.com:8080", "http://u:p@free-bets.example.com/", "http://www.free-bets.example.com./x",
+    "http://one.com/%70age", "http://one.com/p%61ge?q", "http://one.com/page", "http://one.com/page%2fx", "http://one.com/page%2Fx", "http://one.com./page", "http://one.com/", "http://two.com/%7euser", "http://two.com/~user", "http://:80/", "http://@/", "http://.../", None, "x",
+]
+
+
+def test_urls_in_canonical_form(spark):
+    listed = ["HTTP://Free-Bets.example.com:80", "one.com/%70age", "user@one.com/page%2fx#f", "https://two.com./%7Euser?q", "", None, "://", "/path"]
+    entries = set()
+    for entry in listed:
+        if entry:
+            host, path, *_ = plain_url(entry if "://" in entry else "x://" + entry, set())
+            host, path = canonical_form(host, path)
+            entries |= {host + path} if host else set()
+    df = spark.createDataFrame([(k, u) for k, u in enumerate(SPELLINGS + [u for u in ODD_URLS if u != "x\n://one.com/page"])], "page_id long, url string")
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in urls.filter_urls(df, spark.createDataFrame([(x,) for x in listed], "listed string"), registry.URL_RULES, canonical=True).collect()}
+    for r in df.collect():
+        host, path, rule, verdict = plain_url(r.url, set())
+        if rule is None:
+            name, way = canonical_form(host, path)
+            parts = name.split(".")
+            verdict = "block" if name and {".".join(parts[k:]) + p for k in range(len(parts)) for p in (way, way[:1])} & entries else "allow"
+        assert got[r.page_id] == (host, path, rule, verdict), r.url
+
+
+def test_spellings_match_sql(spark, tmp_path):
+    """The registered query and its SQL agree on spellings that the tables do not hold."""
+    import duckdb
+
+    rows = [(k, u) for k, u in enumerate(u for u in SPELLINGS if u is None or "one.com" not in u)]
+    spark.createDataFrame(rows, "page_id long, url string").coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    same_rows(registry.op3(spark, str(tmp_path)), con, registry.OP3_SQL)
+
+
+def test_long_urls_take_no_long_time(spark):
+    long = ["http://" + "a." * 500_000 + "com/x", "http://h.com/" + "%61" * 300_000, "x" * 1_000_000, "http://" + "u@" * 300_000, "http://h" + "." * 500_000]
+    df = spark.createDataFrame(list(enumerate(long)), "page_id long, url string")
+    listed = spark.createDataFrame([("com/x",), ("h.com/y",)], "listed string")
+    began = time.monotonic()
+    got = {r.page_id: r.verdict for r in urls.filter_urls(df, listed, registry.URL_RULES, canonical=True).collect()}
+    assert got == {0: "block", 1: "allow", 2: "allow", 3: "allow", 4: "allow"} and time.monotonic() - began < 60
+
+
 def test_empty_url_tables(spark):
     pages = spark.createDataFrame([(1, "http://a.com/")], "page_id long, url string")
     none = spark.createDataFrame([], "listed string")
