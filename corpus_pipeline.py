@@ -21,16 +21,17 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each component of similar ones. Rows equal in id and text are one document;
-    rows without an id link with nothing and stay."""
-    found = materialize(jaccard.jaccard_components(docs), "components")
-    later = materialize(found.filter("component_id < doc_id").select("doc_id").distinct(), "later")
-    left = docs.join(later, "doc_id", "left_anti").select(*docs.columns)
-    again = materialize(found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "again")
+    """The document with the least id of each component of similar ones. Rows equal in id and text are one document, rows with one id and
+    different texts are several; rows without an id link with nothing and stay."""
+    key = F.when(F.col("doc_id").isNotNull(), F.struct(F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash")))
+    found = materialize(jaccard.jaccard_components(docs.select(key.alias("row"), "text"), key="row"), "components")
+    named = docs.select("*", key.alias("__row"))
+    left = named.join(found.filter("component_id < row").select(F.col("row").alias("__row")).distinct(), "__row", "left_anti")
+    again = materialize(found.filter("row is not null").groupBy("row").count().filter("count > 1").select(F.col("row").alias("__row")), "again")
     if again.isEmpty():
-        return left
-    once = left.join(again, "doc_id", "left_anti").select(*docs.columns)
-    return once.union(left.join(again, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"]))
+        return left.select(*docs.columns)
+    once = left.join(again, "__row", "left_anti").select(*docs.columns)
+    return once.union(left.join(again, "__row", "left_semi").dropDuplicates(["__row"]).select(*docs.columns))
 
 
 def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
