@@ -238,6 +238,18 @@ def test_pipeline_stages(spark, sf_dir, documents):
     assert sorted(map(tuple, pipeline.run(spark, sf_dir).collect())) == sorted(map(tuple, packed.collect()))
 
 
+def test_near_duplicates_of_repeated_ids(spark, sf_dir):
+    """Texts under one id are told apart: a copy goes, another text of its id stays."""
+    import corpus_pipeline as pipeline
+
+    one, two, other = (" ".join(f"{w}{k}" for k in range(40)) for w in ("one", "two", "other"))
+    rows = [(1, one), (2, one + " more"), (2, two), (3, other), (3, other + " x"), (3, other), (4, two), (5, None), (5, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = Counter((r.doc_id, r.text) for r in pipeline.drop_near_duplicates(spark, docs, sf_dir).collect())
+    assert kept.pop((3, other), 0) + kept.pop((3, other + " x"), 0) == 1
+    assert kept == Counter([(1, one), (2, two), (5, None), (5, "")])
+
+
 def test_pipeline_stages_on_odd_rows(spark, sf_dir, odd, empty):
     import corpus_pipeline as pipeline
 

@@ -112,3 +112,16 @@ def test_fingerprints_of_similar_windows_are_in_the_radius(n):
         b[: max(1, n // 10)] = rng.integers(0, 2**63, max(1, n // 10)).astype(np.uint64)
         far.append(int(np.bitwise_count(decontaminate.simhash(a) ^ decontaminate.simhash(b))))
     assert max(far) <= decontaminate.RADIUS
+
+
+@pytest.mark.parametrize("words", [5, 6, 9, 14, 20, 50, 100, 200])
+def test_least_similar_windows_are_in_the_radius(words):
+    """Recall at a similarity of just 0.8 or more, for items of 5 to 200 words: no fingerprint is beyond the radius."""
+    rng = np.random.default_rng(words)
+    n = words - 4
+    same = -(-16 * n // 18)  # s / (2 n - s) >= 0.8
+    draw = lambda k: rng.integers(0, 2**63, (1000, k)).astype(np.uint64) * np.uint64(2) + rng.integers(0, 2, (1000, k)).astype(np.uint64)
+    a = draw(n)
+    b = np.concatenate([a[:, :same], draw(n - same)], axis=1)
+    prints = [np.array([decontaminate.simhash(row) for row in x]) for x in (a, b)]
+    assert np.bitwise_count(prints[0] ^ prints[1]).max() <= decontaminate.RADIUS
