@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from brute import tiktoken_counts
 from support import same_rows
 from tallyweave.llm import langid, quality, registry, tokens, toxicity, urls
 from tallyweave.llm.words import mix
@@ -36,7 +37,7 @@ def library_counts(name, texts):
 
         model = Tokenizer.from_file(path)
         return [len(model.encode(t, add_special_tokens=False).ids) for t in texts]
-    return [n for n in tokens.count_tokens(pa.array(texts, pa.string()), path)]
+    return tiktoken_counts(path, texts)
 
 
 @pytest.mark.parametrize("name", FILES)
