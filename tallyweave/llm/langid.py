@@ -103,7 +103,8 @@ def fit(docs: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str =
     Executors count n-grams in ``buckets`` slots for each language; the driver gets at most
     buckets x languages sums, whatever the size of the corpus.
 
-    Rows with a null key, text or language are not learned from; repeated rows count as often as they stand there; an empty table gives a model of no language.
+    Rows with a null key, text or language are not learned from; repeated rows count as often as they stand there; an empty table gives a model of no language; more than MOST_LANGS
+    languages raise, since the matrix is broadcast.
     """
     rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).cast("string").alias("l")).filter("k is not null and l is not null and t is not null")
     sizes = {r.l: r.n for r in rows.groupBy("l").agg(F.count("*").alias("n")).collect()}
