@@ -28,6 +28,8 @@ MORE_WORDS = 30
 MOST_LABELS = 200_000
 #: The driver fetches about so many n-grams at once.
 FETCHED = 1 << 19
+#: Bytes of texts in which equal pairs of words are put together before they are shuffled.
+PAIR_BYTES = 8 << 20
 #: Words whose odds a worker remembers between texts; with more it starts over.
 KNOWN_WORDS = 1 << 20
 
@@ -89,7 +91,7 @@ def word_counts(labelled: DataFrame) -> DataFrame:
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             label = batch.column(1).to_numpy(zero_copy_only=False)
-            for first, _, data, at in text_slices(batch.column(0)):
+            for first, _, data, at in text_slices(batch.column(0), PAIR_BYTES):
                 code, starts, ends, row = _word_codes(data, at)
                 if not len(starts):
                     continue
@@ -273,7 +275,9 @@ def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str =
     spark = docs.sparkSession
     said = labels.select(F.col(key).alias("k"), F.col(label).cast("int").alias("y")).filter("k is not null and y is not null")
     said = said.filter(fold("k") != held_out)
-    said = by_hash(said, "k", most, said.count()).groupBy("k").agg(F.max("y").alias("y"))
+    said = materialize(by_hash(said, "k", most, said.count()).groupBy("k").agg(F.max("y").alias("y")), "labels")
+    if said.count() <= 2 * most:  # a key and a byte or so each: some megabytes at most, where a shuffle would move the texts
+        said = F.broadcast(said)
     known = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t")).join(said, "k")
     counts = materialize(gram_counts(word_counts(known.filter(fold("k") != calibrate).select("t", "y"))), "grams")
 
