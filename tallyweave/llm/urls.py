@@ -46,8 +46,9 @@ def canonical_host(host: Column) -> Column:
 
 def canonical_path(path: Column) -> Column:
     """An empty path is one slash; escapes of characters that need none are undone, in the order of PLAIN, the others in capitals."""
-    pairs = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in PLAIN + CAPITALS))
-    plain = F.when(path.contains("%"), F.aggregate(pairs, path, lambda out, p: F.regexp_replace(out, p["a"], p["b"]))).otherwise(path)
+    found, made = (F.split(F.lit(" ".join(x)), " ") for x in zip(*PLAIN, *CAPITALS, strict=True))  # two constants, where 156 literals take seconds to plan
+    replaced = F.aggregate(F.sequence(F.lit(1), F.lit(len(PLAIN + CAPITALS))), path, lambda out, k: F.regexp_replace(out, F.element_at(found, k), F.element_at(made, k)))
+    plain = F.when(path.contains("%"), replaced).otherwise(path)
     return F.when(path == "", "/").otherwise(plain)
 
 
