@@ -74,10 +74,10 @@ class Planner:
         """Bindings to sum up before the joins: those whose join columns have few combinations for their rows.
 
         Their rows then meet as one row for each combination, with a count and partial sums. So a fact table is shuffled
-        as partial sums, and many-to-many joins don't multiply rows. Signed mode only. Where the sum may pass 2^63, partial sums and
-        products are mod 2^64 too.
+        as partial sums, and many-to-many joins don't multiply rows. Where the sum may pass 2^63 or values are unsigned, partial sums
+        and products are mod 2^64 too.
         """
-        if self.eager_rows is None or self.order != "cost" or len(query.relations) == 1 or any(self.catalog[r].unsigned for r in query.relations):
+        if self.eager_rows is None or self.order != "cost" or len(query.relations) == 1:
             return frozenset()
         orderer, out = Orderer(query, self.statistics(query)), set()
         for b in query.bindings():

@@ -159,10 +159,11 @@ def in_memory_relation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def wrapping_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A join whose sums pass 2^63 and are taken mod 2^64, with the fact table summed up before it."""
+    """A join whose values and sums are taken mod 2^64, with the fact table summed up before it. Shifts drop the bits beyond
+    64, where a product of longs raises."""
     made = Catalog(spark)
-    made.add(_relation(spark, sf_dir, "lineitem").select((F.col("c0") * 2**40).alias("c0"), F.col("c2").alias("c1")))
-    made.add(_relation(spark, sf_dir, "supplier").select(F.col("c0").alias("c0"), (F.col("c1") * 2**52).alias("c1")))
+    made.add(_relation(spark, sf_dir, "lineitem").select(F.shiftleft("c0", 40).alias("c0"), F.col("c2").alias("c1")), unsigned=True)
+    made.add(_relation(spark, sf_dir, "supplier").select(F.col("c0").alias("c0"), F.shiftleft("c1", 52).alias("c1")), unsigned=True)
     return Planner(made, eager_rows=1000).answer("0 1|0.1=1.0|0.0 1.1")
 
 

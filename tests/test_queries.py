@@ -12,6 +12,22 @@ def test_query_matches_sql(spark, sf_dir, duck, name):
     same_rows(core.queries()[name](spark, sf_dir), duck, SQL[name])
 
 
+@pytest.mark.parametrize("shift", [2**23 - 10, 2**24 - 10, 2**40])
+def test_wrapping_join_of_large_keys(spark, sf_dir, tmp_path, shift):
+    """Order keys whose shifted values reach bit 63, pass 2^64 and lose all but their low bits, and half the suppliers only."""
+    import duckdb
+
+    con = duckdb.connect()
+    for table, _ in core.TABLES:
+        source, path = f"read_parquet('{sf_dir}/{table}.parquet')", tmp_path / f"{table}.parquet"
+        rows = {"lineitem": f"SELECT * REPLACE (l_orderkey + {shift} AS l_orderkey) FROM {source}", "supplier": f"SELECT * FROM {source} WHERE s_suppkey % 2 = 0"}
+        con.execute(f"COPY ({rows.get(table, f'SELECT * FROM {source}')}) TO '{path}' (FORMAT parquet)")
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{path}')")
+    out = core.queries()["wrapping_join"](spark, str(tmp_path))
+    same_rows(out, con, SQL["wrapping_join"])
+    assert "keys=[b0_c1" in plan_of(out).split("== Physical Plan ==")[1]  # summed up before the join
+
+
 def test_approximate_distinct_counts(spark, sf_dir):
     exact = {(r.relation, r.column_no): r for r in core.queries()["column_stats"](spark, sf_dir).collect()}
     for r in core.queries()["column_stats_approx"](spark, sf_dir).collect():

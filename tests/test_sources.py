@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 from tallyweave.functions.unsigned import from_signed, to_signed
 from tallyweave.operators import joins, scans
+from tallyweave.plans.parser import parse_query
 from tallyweave.plans.planner import Planner
 from tallyweave.sources import relbin
 from tallyweave.sources.catalog import Catalog
@@ -81,6 +82,23 @@ def test_sums_over_the_signed_range_wrap(spark):
     assert dict(Planner(catalog).plan("0||0.1").dtypes) == {"s0": "bigint"} and dict(Planner(catalog).plan("0||0.0").dtypes) == {"s0": "decimal(20,0)"}
 
 
+def test_unsigned_relations_are_summed_up_early(spark):
+    """Values of 2^63 and over, as summed columns, as the join's keys and beside a plain relation, against plain Python."""
+    left, right = [[2**63, 2**64 - 1, 2**63 + 5, 7, 2**62] * 8, [2**64 - 1, 1, 2**63, 2**64 - 1, 1] * 8], [[2**64 - 1, 2**64 - 1, 1, 3] * 8, [2**63 + 1, 2**64 - 2, 9, 1] * 8]
+    plain = [[1, 1, 2] * 8, [4, 2**62, 6] * 8]
+    catalog = Catalog(spark)
+    catalog.add_columns(left, unsigned=True)
+    catalog.add_columns(right, unsigned=True)
+    catalog.add_columns(plain)
+    for number, other in ((1, right), (2, plain)):
+        text = f"0 {number}|0.1=1.0|0.0 1.1 0.1"
+        joined = [(a, b, k) for a, k in zip(*left, strict=True) for j, b in zip(*other, strict=True) if j == k]
+        want = " ".join(str(sum(x[i] for x in joined) % 2**64 or "NULL") for i in range(3))
+        assert Planner(catalog, eager_rows=0).eager(parse_query(text)) == {0, 1}
+        for options in ({"eager_rows": 0}, {"eager_rows": None}, {"order": "text"}):
+            assert Planner(catalog, **options).answer(text).first()["answer"] == want
+
+
 def test_conversion_follows_its_file(spark, tmp_path):
     """A grown file and a half-written conversion are converted again; an unchanged one is not."""
     path, parquet = str(tmp_path / "r"), str(tmp_path / "r.parquet")
